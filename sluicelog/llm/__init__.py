@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["langid", "fingerprints", "bpe", "toxicity", "secrets", "url_rules", "warc"]
+MODULES = ["langid", "fingerprints", "bpe", "near_dups", "toxicity", "secrets", "url_rules", "warc"]
 QUERIES, SQL = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__name__}.{_name}")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["langid", "fingerprints", "bpe", "near_dups", "toxicity", "secrets", "url_rules", "decontamination", "warc"]
+MODULES = ["langid", "fingerprints", "pii", "bpe", "near_dups", "toxicity", "secrets", "url_rules", "decontamination", "warc"]
 QUERIES, SQL = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__name__}.{_name}")

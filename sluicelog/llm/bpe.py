@@ -275,6 +275,15 @@ def encoded(spark: SparkSession, text: Column, vocabulary: str) -> Column:
     return encoder(spark, vocabulary, _codes, CODES)(text)
 
 
+def _ids(ids: bytes, decoded: str):
+    return len(ids) // 4, ids
+
+
+def ids_only(spark: SparkSession, text: Column, vocabulary: str) -> Column:
+    """A struct of n_tokens and ids (little-endian unsigned 32-bit)."""
+    return encoder(spark, vocabulary, _ids, "n_tokens long, ids binary")(text)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

@@ -58,7 +58,9 @@ def collisions(texts: DataFrame, hash_col: str, text_col: str) -> DataFrame:
     """
     forms = texts.select(F.col(hash_col).alias("hash"), canonical_of(F.col(text_col)).alias("form"))
     mixed = forms.groupBy("hash").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("hash")
-    distinct = forms.join(mixed, "hash", "left_semi").distinct()
+    # stored, so that the pure buckets, however large, are not dealt by their hash again
+    mixed = stored(mixed, "fingerprint-mixed")
+    distinct = forms.join(small(mixed), "hash", "left_semi").distinct()
     return distinct.withColumn("rank", F.row_number().over(W.partitionBy("hash").orderBy("form")))
 
 

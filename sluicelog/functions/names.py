@@ -82,3 +82,8 @@ def advertised_url(scheme: Column, host: Column, port: Column) -> Column:
     """The broker URL that clients get: an unspecified address becomes the loopback one."""
     shown = F.when(host.isin("0.0.0.0", "::", "[::]"), "127.0.0.1").otherwise(host)
     return F.concat(scheme, F.lit("://"), shown, F.lit(":"), port.cast("string"))
+
+
+def default_sequence(sequence: Column, entry: Column) -> Column:
+    """The sequence number of a message without metadata is its entry number."""
+    return F.coalesce(sequence, entry)

@@ -267,6 +267,12 @@ class Subscription:
         elif kind == "seek":
             self.seek(o)
             return []
+        elif kind == "unsubscribe":
+            # the cursor goes with all consumers and queues; who subscribes next begins at the start of the log
+            log, self.log = self.log, {}
+            self.__init__(self.mode)
+            self.log = log
+            return []
         return self.trigger()
 
 
@@ -295,10 +301,13 @@ class Transient:
         self.permits, self.turn = dict.fromkeys(self.order, 0), 0
 
     def event(self, kind: str, consumer: int | None, n: int | None) -> int | None:
-        """The consumer of a publish (null: dropped)."""
+        """The consumer of a publish (null: dropped). A fenced subscription has no consumers any more."""
         if kind == "flow":
             self.permits[consumer] += n
             return None
+        if kind == "fence":
+            self.order, self.permits = [], {}
+            return None
         tried: list[int] = []
         if self.mode == "Shared":
             if sum(self.permits.values()) and self.order:

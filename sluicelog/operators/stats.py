@@ -97,3 +97,15 @@ def idle_topics(registered: DataFrame, producing: DataFrame, consuming: DataFram
     """Topics without a producer and a consumer."""
     used = producing.select("topic").unionByName(consuming.select("topic")).distinct()
     return registered.select("topic").join(used, "topic", "left_anti")
+
+
+def find_members(asked: DataFrame, members: DataFrame, key: str = "consumer_id") -> DataFrame:
+    """Where each asked consumer or producer is registered; one that isn't anywhere has nulls."""
+    return asked.select(key).join(members, key, "left")
+
+
+def live_members(registrations: DataFrame, key: str = "producer_id") -> DataFrame:
+    """Who is registered after a history of ``register`` and ``remove`` events: the last event of an id on a topic counts, and a new
+    registration takes the place of an older one with the same id."""
+    last = registrations.groupBy("topic", key).agg(F.max_by(F.struct("kind", "name"), "seq").alias("last"))
+    return last.where("last.kind = 'register'").select("topic", key, F.col("last.name").alias("name"))

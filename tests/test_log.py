@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicelog.functions import hashing, names
-from sluicelog.operators import cursors, folds, redelivery, routing
+from sluicelog.operators import cursors, folds, redelivery, routing, stats
 from sluicelog.sources import catalog, log
 
 
@@ -162,3 +162,29 @@ def test_document_round_trip(spark, tmp_path):
     assert sorted(r.topic for r in catalog.topics(read).collect()) == ["persistent://a/b/c", "persistent://a/b/d/e"]
     assert sorted(r.subscription for r in catalog.subscriptions(read).collect()) == ["s1", "s2"]
     assert {r.topic: r.partition_count for r in catalog.topics(read).collect()}["persistent://a/b/c"] == 3
+
+
+def test_unsubscribe_forgets_the_cursor():
+    got = history("Shared", ("join", 1, None, 0, "a"), ("flow", 1, None, 9), ("publish", None, 0, 0), ("ack", 1, 0), ("publish", None, 1, 0), ("unsubscribe",), ("join", 2, None, 0, "b"), ("flow", 2, None, 9))
+    assert got == [(1, 0, 0), (1, 1, 0), (2, 0, 0), (2, 1, 0)]
+
+
+def test_seek_replays_acked_messages():
+    got = history("Exclusive", ("join", 1, None, 0, "a"), ("flow", 1, None, 9), *[("publish", None, i, 0) for i in range(3)], *[("ack", 1, i) for i in range(3)], ("seek", None, 1), ("flow", 1, None, 1))
+    assert got[3:] == [(1, 1, 0), (1, 2, 0)]
+
+
+def test_fenced_subscription_drops():
+    state = folds.Transient("Exclusive", [(1, 0)])
+    state.event("flow", 1, 5)
+    assert state.event("publish", None, 0) == 1
+    state.event("fence", None, None)
+    assert state.event("publish", None, 0) is None
+
+
+def test_members(spark):
+    rows = spark.createDataFrame([("t", 1, "register", "a", 0), ("t", 1, "register", "b", 1), ("t", 2, "register", "c", 2), ("t", 2, "remove", "c", 3)], "topic string, producer_id long, kind string, name string, seq long")
+    live = stats.live_members(rows)
+    assert [tuple(r) for r in live.collect()] == [("t", 1, "b")]
+    found = stats.find_members(spark.createDataFrame([(1,), (2,)], "producer_id long"), live, "producer_id")
+    assert {r.producer_id: r.topic for r in found.collect()} == {1: "t", 2: None}

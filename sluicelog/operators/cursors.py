@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.log import numbered
+
+PLACES_PER_SLOT = 100_000
+
 
 def unacked(log: DataFrame, acks: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Entries of the log, per subscription, that no ack and no base frontier covers.
@@ -41,13 +45,11 @@ def hole_ranges(log: DataFrame, acks: DataFrame, base: DataFrame) -> DataFrame:
     held = acks.select(*keys, "ord").distinct().join(marks, keys).where(F.col("ord") > F.col("mark_delete_ord")).select(*keys, "ord")
     starts = held.join(held.select(*keys, (F.col("ord") + 1).alias("ord")), [*keys, "ord"], "left_anti")
     ends = held.join(held.select(*keys, (F.col("ord") - 1).alias("ord")), [*keys, "ord"], "left_anti")
-    # the nearest end at or after a start; runs don't overlap, so both sides rank alike within a block of places
-    bounds = starts.select(*keys, "ord", F.lit(0).alias("kind")).unionByName(ends.select(*keys, "ord", F.lit(1).alias("kind")))
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy(*keys).orderBy("ord", "kind")
-    paired = bounds.withColumn("stop", F.lead("ord").over(order)).where("kind = 0")
-    return paired.select(*keys, F.col("ord").alias("start_ord"), F.col("stop").alias("end_ord"))
+    # runs don't overlap, so the n-th start and the n-th end are one run; both are numbered in slots, not in one task
+    slot = F.floor(F.col("ord") / PLACES_PER_SLOT)
+    starts = numbered(starts, "nth", keys, slot, ["ord"]).withColumnRenamed("ord", "start_ord")
+    ends = numbered(ends, "nth", keys, slot, ["ord"]).withColumnRenamed("ord", "end_ord")
+    return starts.join(ends, [*keys, "nth"]).select(*keys, "start_ord", "end_ord")
 
 
 def first_unacked(log: DataFrame, acks: DataFrame, base: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.log import numbered
+from ..sources.shared import stored
 
 PLACES_PER_SLOT = 100_000
 
@@ -43,6 +44,7 @@ def hole_ranges(log: DataFrame, acks: DataFrame, base: DataFrame) -> DataFrame:
     marks = frontiers(log, acks, base).select("topic", "subscription", "mark_delete_ord")
     keys = ["topic", "subscription"]
     held = acks.select(*keys, "ord").distinct().join(marks, keys).where(F.col("ord") > F.col("mark_delete_ord")).select(*keys, "ord")
+    held = stored(held, "holes")
     starts = held.join(held.select(*keys, (F.col("ord") + 1).alias("ord")), [*keys, "ord"], "left_anti")
     ends = held.join(held.select(*keys, (F.col("ord") - 1).alias("ord")), [*keys, "ord"], "left_anti")
     # runs don't overlap, so the n-th start and the n-th end are one run; both are numbered in slots, not in one task

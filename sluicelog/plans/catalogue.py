@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, names
 from ..operators import cursors, folds, redelivery, routing, stats
 from ..sources import catalog, log
+from ..sources.shared import stored
 from ..streaming import live
 
 LEDGER = 500
@@ -45,6 +46,11 @@ def the_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.event_log(spark.read.parquet(f"{sf_dir}/events.parquet"), LEDGER)
 
 
+def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a written table, for queries that read it more than once."""
+    return stored(the_log(spark, sf_dir), "log")
+
+
 def the_acks(rows: DataFrame) -> DataFrame:
     return rows.where("event_id % 7 <> 3").select("topic", F.lit("sub-a").alias("subscription"), "ord")
 
@@ -191,7 +197,7 @@ _BACKLOG = """SELECT topic, 'sub-a' AS subscription, mark_delete_ord, backlog, (
 @query("subscription_backlog", with_log(_BACKLOG, ACKS, OPEN, MARKS))
 def subscription_backlog(spark, sf_dir):
     """Frontier, holes, backlog and first unacknowledged position of a subscription on every topic."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     acks, base = the_acks(rows), the_base(rows)
     return cursors.frontiers(rows, acks, base).join(cursors.first_unacked(rows, acks, base), ["topic", "subscription"], "left")
 
@@ -199,27 +205,27 @@ def subscription_backlog(spark, sf_dir):
 @query("mark_delete_frontier", with_log("SELECT topic, 'sub-a' AS subscription, mark_delete_ord, backlog FROM marks", OPEN.replace("= 3", "= 3 AND ord >= 100"), MARKS))
 def mark_delete_frontier(spark, sf_dir):
     """Individual acks on top of a base frontier."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return cursors.frontiers(rows, the_acks(rows), the_base(rows, 99)).select("topic", "subscription", "mark_delete_ord", "backlog")
 
 
 @query("hole_ranges", with_log("""SELECT topic, 'sub-a' AS subscription, min(ord) AS start_ord, max(ord) AS end_ord FROM (
   SELECT a.topic, a.ord, a.ord - row_number() OVER (PARTITION BY a.topic ORDER BY a.ord) AS island FROM acks a JOIN marks m USING (topic) WHERE a.ord > m.mark_delete_ord) GROUP BY topic, island""", ACKS, OPEN, MARKS))
 def hole_ranges(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return cursors.hole_ranges(rows, the_acks(rows), the_base(rows))
 
 
 @query("first_unacked", with_log("SELECT topic, 'sub-a' AS subscription, min(ord) // 500 AS ledger, min(ord) % 500 AS entry FROM opened GROUP BY topic", OPEN))
 def first_unacked(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return cursors.first_unacked(rows, the_acks(rows), the_base(rows))
 
 
 @query("cursor_open", with_log("""SELECT topic, subscription, CASE subscription WHEN 'latest' THEN last WHEN 'earliest' THEN -1 WHEN 'start' THEN 41 ELSE 7 END AS mark_delete_ord, subscription = 'known' AS reused
 FROM (SELECT topic, max(ord) AS last FROM log GROUP BY topic), (VALUES ('latest'), ('earliest'), ('start'), ('known')) s(subscription)"""))
 def cursor_open(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     kinds = spark.createDataFrame([("latest", None, "Latest"), ("earliest", None, "Earliest"), ("start", 42, "Latest"), ("known", None, "Latest")], "subscription string, start_ord long, initial string")
     subs = rows.select("topic").distinct().join(F.broadcast(kinds))
     existing = rows.select("topic").distinct().select("topic", F.lit("known").alias("subscription"), F.lit(7).cast("long").alias("mark_delete_ord"))
@@ -228,7 +234,7 @@ def cursor_open(spark, sf_dir):
 
 @query("seek_message_id", with_log("SELECT topic, 'sub-a' AS subscription, count(*) AS n, min(ord) AS first_ord FROM log WHERE ord >= 1250 GROUP BY topic"))
 def seek_message_id(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     targets = the_base(rows).select("topic", "subscription", F.lit(1250).alias("ord"))
     return cursors.sought(rows, targets).groupBy("topic", "subscription").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
@@ -240,7 +246,7 @@ _TIMES = [1704067200000, 1705000000000, 1706000000000, 1799999999000]
   SELECT topic, t, (SELECT count(*) FROM log x WHERE x.topic = e.topic AND x.publish_time < t) AS n, last
   FROM (SELECT topic, max(ord) AS last FROM log GROUP BY topic) e, (VALUES {', '.join(f'({t})' for t in _TIMES)}) v(t))"""))
 def seek_publish_time(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     times = rows.select("topic").distinct().join(F.broadcast(spark.createDataFrame([(t,) for t in _TIMES], "publish_time long")))
     return cursors.seek_by_time(rows, times)
 
@@ -253,7 +259,7 @@ def cumulative_ack(spark, sf_dir):
 
 @query("failover_takeover", with_log("SELECT topic, 'sub-a' AS subscription, least(min(ord) FILTER (event_id % 7 = 3), min(ord) FILTER (event_id % 13 = 1)) AS ord FROM log GROUP BY topic"))
 def failover_takeover(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     first = cursors.unacked(rows, the_acks(rows), the_base(rows)).groupBy("topic", "subscription").agg(F.min("ord").alias("first_open"))
     pending = rows.where("event_id % 13 = 1").select("topic", F.lit("sub-a").alias("subscription"), "ord")
     return cursors.rewind(first, pending)
@@ -294,7 +300,7 @@ _MEMBERS = [(1, "consumer-a", 1), (3, "consumer-a", 5), (2, "consumer-b", 5), (4
 
 @query("failover_active_persistent", with_log("SELECT DISTINCT topic, 'sub-a' AS subscription, 3::BIGINT AS consumer_id FROM log"))
 def failover_active_persistent(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return routing.failover_active(consumers(spark, rows, _MEMBERS))
 
 
@@ -304,7 +310,7 @@ _RING = f"""pts AS (SELECT topic, id, {hashing.murmur3_sql("nm || r")} AS point,
 
 @query("failover_active_ring", with_log("SELECT topic, 'sub-a' AS subscription, min_by(id, (point < own, point, slot, r))::BIGINT AS consumer_id FROM pts GROUP BY topic", _RING))
 def failover_active_ring(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     members = consumers(spark, rows, [(1, "failover-a", 0), (2, "failover-b", 0), (3, "failover-0", 5)]).withColumn("partition", F.lit(-1))
     return routing.transient_failover_active(members)
 
@@ -318,13 +324,13 @@ def failover_partition_mod(spark, sf_dir):
 
 @query("shared_round_robin", with_log("SELECT topic, ord, 1 + ord % 3 AS consumer_id FROM log"))
 def shared_round_robin(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return routing.round_robin(rows, consumers(spark, rows, _FOUR[:3])).select("topic", "ord", "consumer_id")
 
 
 @query("fanout_counts", with_log("SELECT topic, s AS subscription, count(*) AS n, sum(strlen(payload))::BIGINT AS bytes FROM log, (VALUES ('sub-a'), ('sub-b'), ('sub-c')) v(s) GROUP BY ALL"))
 def fanout_counts(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     subs = rows.select("topic").distinct().select("topic", F.explode(F.array(*map(F.lit, ("sub-a", "sub-b", "sub-c")))).alias("subscription"))
     return routing.fanned_out(rows, subs).groupBy("topic", "subscription").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
 
@@ -341,7 +347,7 @@ def _flight(rows: DataFrame) -> DataFrame:
 
 @query("in_flight_exclusion", with_log("SELECT topic, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM log WHERE event_id % 7 = 3 AND event_id % 13 <> 1 GROUP BY topic"))
 def in_flight_exclusion(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     found = redelivery.candidates(rows, the_acks(rows), _flight(rows), the_base(rows))
     return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
@@ -350,7 +356,7 @@ def in_flight_exclusion(spark, sf_dir):
   row_number() OVER (PARTITION BY topic ORDER BY event_id % 13 <> 1, ord) AS place FROM log WHERE event_id % 7 = 3) WHERE place <= 17"""))
 def redelivery_union(spark, sf_dir):
     """What one trigger with 17 permits delivers: queued entries first."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     acks = the_acks(rows)
     queue = redelivery.dispatchable(_flight(rows).select("topic", "subscription", "ord", "redelivery_count"), rows, acks)
     new = redelivery.candidates(rows, acks, _flight(rows), the_base(rows))
@@ -368,7 +374,7 @@ def redelivery_count_merge(spark, sf_dir):
 @query("redelivery_request", with_log("SELECT topic, ord, event_id % 4 + 1 AS redelivery_count, (user_id % 8)::INTEGER AS sticky_hash FROM log WHERE event_id % 13 = 1 AND event_id % 7 = 3 AND (event_id % 3 = 0 OR (event_id % 3 = 1 AND ord IN (5, 10, 33)))"))
 def redelivery_request(spark, sf_dir):
     """Consumer 1 asks for all that it holds, consumer 2 for three entries."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     subs = the_base(rows).select("topic", "subscription", F.lit("KeyShared").alias("sub_type"), F.lit("Persistent").alias("mode"))
     asks = spark.createDataFrame([(1, None), (2, [5, 10, 33])], "consumer_id long, ords array<long>")
     requests = the_base(rows).select("topic", "subscription").join(F.broadcast(asks))
@@ -378,7 +384,7 @@ def redelivery_request(spark, sf_dir):
 @query("shared_recovery", with_log("SELECT topic, ord, event_id % 4 + 1 AS redelivery_count, (user_id % 8)::INTEGER AS sticky_hash FROM log WHERE event_id % 13 = 1 AND event_id % 7 = 3 AND event_id % 3 = 1"))
 def shared_recovery(spark, sf_dir):
     """Consumer 2 leaves."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     gone = the_base(rows).select("topic", "subscription", F.lit(2).cast("long").alias("consumer_id"))
     return redelivery.recovered(gone, _flight(rows), the_acks(rows)).select("topic", "ord", "redelivery_count", "sticky_hash")
 
@@ -393,7 +399,7 @@ def blocked_hashes(spark, sf_dir):
 FROM log WHERE event_id % 13 = 1"""))
 def ack_owner(spark, sf_dir):
     """Acks by consumers that mostly don't hold the entry, half of them with another partition in the id."""
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     acks = rows.select("topic", F.lit("sub-a").alias("subscription"), F.col("event_id").alias("seq"), (F.col("user_id") % 3 + 1).alias("consumer_id"), "ledger", "entry", F.when(F.col("event_id") % 2 == 0, -1).otherwise(7).alias("partition"))
     return redelivery.ack_owners(acks, _flight(rows)).select("topic", "seq", "owner", "level")
 
@@ -401,7 +407,7 @@ def ack_owner(spark, sf_dir):
 @query("valid_acks", with_log("""SELECT topic, s AS sub_type, count(*) AS n FROM log, (VALUES ('Exclusive'), ('Shared')) v(s)
 WHERE CASE WHEN event_id % 5 = 0 THEN s = 'Exclusive' WHEN s = 'Exclusive' THEN event_id % 13 = 1 AND event_id % 3 = user_id % 3 ELSE event_id % 13 = 1 END GROUP BY ALL"""))
 def valid_acks(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     kinds = spark.createDataFrame([("sub-x", "Exclusive"), ("sub-s", "Shared")], "subscription string, sub_type string")
     subs = rows.select("topic").distinct().join(F.broadcast(kinds))
     acks = rows.select("topic", "ord", (F.col("user_id") % 3 + 1).alias("consumer_id"), F.when(F.col("event_id") % 5 == 0, "Cumulative").otherwise("Individual").alias("ack_type")).join(F.broadcast(kinds.select("subscription")))
@@ -419,7 +425,7 @@ def producer_stats(spark, sf_dir):
 
 @query("consumer_stats", with_log("""SELECT topic, 1 + ord % 3 AS consumer_id, count(*) AS messages, sum(strlen(payload))::BIGINT AS bytes, count(*) FILTER (event_id % 7 <> 3) AS acked, greatest(1000 - count(*), 0) AS permits FROM log GROUP BY ALL"""))
 def consumer_stats(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     members = consumers(spark, rows, _FOUR[:3])
     sent = routing.round_robin(rows, members)
     flow = members.select("topic", "subscription", "consumer_id", F.lit(1000).alias("permits"))
@@ -429,7 +435,7 @@ def consumer_stats(spark, sf_dir):
 @query("subscription_stats", with_log("""SELECT topic, s AS subscription, CASE s WHEN 'np' THEN 'NonPersistent' ELSE 'Persistent' END AS mode, 4 AS consumers, 40 AS permits, CASE s WHEN 'np' THEN count(*) ELSE 0 END AS received,
   CASE s WHEN 'np' THEN count(*) FILTER (event_id % 5 <> 0) ELSE 0 END AS dispatched, CASE s WHEN 'np' THEN count(*) FILTER (event_id % 5 = 0) ELSE 0 END AS dropped FROM log, (VALUES ('np'), ('p')) v(s) GROUP BY topic, s"""))
 def subscription_stats(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     both = spark.createDataFrame([("np", "NonPersistent"), ("p", "Persistent")], "subscription string, mode string")
     members = consumers(spark, rows, _FOUR).drop("subscription").join(F.broadcast(both))
     moved = rows.select("topic", (F.col("event_id") % 5 != 0).alias("dispatched")).join(F.broadcast(both.select("subscription")))
@@ -439,7 +445,7 @@ def subscription_stats(spark, sf_dir):
 
 @query("drop_rate", with_log("SELECT topic, 'sub-a' AS subscription, count(*) AS received, count(*) FILTER (event_id % 8 <> 0) AS dispatched, count(*) FILTER (event_id % 8 = 0) AS dropped, (count(*) FILTER (event_id % 8 = 0))::DOUBLE / count(*) AS drop_rate FROM log GROUP BY topic"))
 def drop_rate(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return stats.drop_rates(rows.select("topic", F.lit("sub-a").alias("subscription"), (F.col("event_id") % 8 != 0).alias("dispatched")))
 
 
@@ -467,7 +473,7 @@ def partitioned_stats(spark, sf_dir):
 
 @query("broker_counters", with_log("SELECT count(*) AS published, sum(strlen(payload))::BIGINT AS bytes, count(*) FILTER (event_id % 8 <> 0) AS delivered, count(*) / 100.0::DOUBLE AS published_rate, (count(*) FILTER (event_id % 8 <> 0)) / 100.0::DOUBLE AS delivered_rate FROM log"))
 def broker_counters(spark, sf_dir):
-    rows = the_log(spark, sf_dir)
+    rows = kept_log(spark, sf_dir)
     return stats.broker(rows, rows.select((F.col("event_id") % 8 != 0).alias("dispatched")), 100.0)
 
 

@@ -5,6 +5,8 @@ Spark's own ``hash`` treats the tail of a value differently and can't stand in f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +15,24 @@ _MASK = 0xFFFFFFFF
 _C1, _C2 = 0xCC9E2D51, 0x1B873593
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed, and standing in the plan, once: written out, the steps below would double the expression each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _times(a: Column, c: int) -> Column:
     """``a * c`` mod 2**32 in two halves, so that no product leaves 63 bits."""
-    low, high = a.bitwiseAND(0xFFFF) * F.lit(c), (F.shiftright(a, 16) * F.lit(c)).bitwiseAND(0xFFFF)
-    return (low + F.shiftleft(high, 16)).bitwiseAND(_MASK)
+    low = lambda x: x.bitwiseAND(0xFFFF) * F.lit(c)
+    high = lambda x: (F.shiftright(x, 16) * F.lit(c)).bitwiseAND(0xFFFF)
+    return _with(a, lambda x: (low(x) + F.shiftleft(high(x), 16)).bitwiseAND(_MASK))
 
 
 def _turned(a: Column, r: int) -> Column:
-    return F.shiftleft(a, r).bitwiseOR(F.shiftright(a, 32 - r)).bitwiseAND(_MASK)
+    return _with(a, lambda x: F.shiftleft(x, r).bitwiseOR(F.shiftright(x, 32 - r)).bitwiseAND(_MASK))
+
+
+def _folded(a: Column, r: int) -> Column:
+    return _with(a, lambda x: x.bitwiseXOR(F.shiftright(x, r)))
 
 
 def _number(hexadecimal: Column) -> Column:
@@ -41,9 +53,7 @@ def murmur3_32(data: Column) -> Column:
         _number(F.concat(F.when(n % 4 == 3, at(body + 2)).otherwise(""), F.when(n % 4 >= 2, at(body + 1)).otherwise(""), at(body)))
     )
     acc = acc.bitwiseXOR(mixed(rest)).bitwiseXOR(n.cast("long"))
-    acc = _times(acc.bitwiseXOR(F.shiftright(acc, 16)), 0x85EBCA6B)
-    acc = _times(acc.bitwiseXOR(F.shiftright(acc, 13)), 0xC2B2AE35)
-    return acc.bitwiseXOR(F.shiftright(acc, 16))
+    return _folded(_times(_folded(_times(_folded(acc, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
 
 
 def sticky_key(ordering_key: Column, partition_key: Column, producer: Column, sequence: Column) -> Column:

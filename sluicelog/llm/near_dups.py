@@ -7,11 +7,15 @@ longest-common-prefix neighbours meet, and the parts are packed into blocks of a
 holds the same ``PIVOTS`` sets of its region, so that parts that the longer prefix has cut apart are still compared. Regions
 of the same members, which true duplicates give in most trees, are compared once.
 
+What the blocks of crowded regions leave unlinked is joined exactly: two sets of the threshold share a shingle among the rarest
+of both (prefix filter, with bounds of length and position). Only pairs of different components are joined, on keys that are
+salted where a shingle is common. Their members meet in cells, which are checked like regions, so again only stars leave.
+
 Inside a region all pairs are checked on their full shingle sets, and only a star for each group of linked members leaves
 the task, never the pairs. Stars become components by alternating large-star and small-star rounds.
 
 Equal shingle sets are one class from the start, held by the smallest id. A link at the threshold itself is missed with a chance of
-``(1 - s**LEAST_DEPTH)**TREES`` (7e-6 at 0.85, 2e-4 at 0.8); in crowded regions the chance is higher and measured in the tests.
+``(1 - s**LEAST_DEPTH)**TREES`` (7e-6 at 0.85, 2e-4 at 0.8); inside a region, crowded or not, none is missed.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing. A row with a null id is returned with a null
 component, is linked with nothing and is kept. Rows that share an id are one document: they share a component. Tables may be empty;
@@ -26,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, small, stored
@@ -34,6 +38,8 @@ from .common import discard, small, stored
 TREES, LEVELS, LEAST_DEPTH = 16, 12, 4
 REGION, PIVOTS = 256, 48
 DEEPER = (6, 8, 12)
+#: A shingle's members of two components are paired in salted parts of about this many.
+POSTINGS = 1024
 WORDS_HELD = 300_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -158,8 +164,11 @@ def _star_edges(size: int, percent: int):
     return run
 
 
-def regions(reps: DataFrame) -> DataFrame:
-    """``(region, id)``: which sets are compared with each other. ``reps`` has id, keys and deep of distinct shingle sets."""
+def regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(region, id)``: which sets are compared with each other, and ``(key, id)`` of the crowded regions, None if there are none.
+
+    ``reps`` has id, keys and deep of distinct shingle sets.
+    """
     members = reps.select("id", F.posexplode("keys").alias("tree", "key"))
     h1, h2 = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
     sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("c > 1")
@@ -168,7 +177,7 @@ def regions(reps: DataFrame) -> DataFrame:
     plain = members.join(small(kept), "key").select(F.xxhash64("key", F.lit(0)).alias("region"), "id")
     crowded = sized.where(F.col("c") > REGION).select("key", "c")
     if crowded.isEmpty():
-        return plain
+        return plain, None
 
     wide = reps.select("id", F.posexplode("keys").alias("tree", "key"), "deep").join(small(crowded), "key")
     wide = wide.withColumns({"l2": F.get("deep", F.col("tree") * 2), "l3": F.get("deep", F.col("tree") * 2 + 1), "blocks": F.ceil(F.col("c") / REGION).cast("int")})
@@ -184,7 +193,49 @@ def regions(reps: DataFrame) -> DataFrame:
     is_pivot = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("c")
     block = F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own))
     packed = wide.select("key", "id", block.alias("block")).select(F.xxhash64("key", "block", F.lit(1)).alias("region"), "id")
-    return plain.unionByName(packed)
+    return plain.unionByName(packed), wide.select("key", "id")
+
+
+def _poster(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                points = shingles(text.as_py(), size).view(np.int64)
+                same = lambda x: pa.array(np.full(len(points), x, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(i), same(component), same(len(points)), pa.array(points)], names=["id", "component", "n", "point"])
+
+    return run
+
+
+def unlinked(crowded: DataFrame, found: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(region, id)``: cells that hold every pair of crowded regions' members which may be linked and is in different components.
+
+    ``crowded`` is ``(key, id)``, ``found`` the components ``(rep, component)`` up to now, ``rows`` ``(id, text)``.
+    """
+    component = F.coalesce("component", F.col("id"))
+    members = crowded.join(small(found), F.col("id") == F.col("rep"), "left").select("key", "id", component.alias("component"))
+    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = stored(members.join(small(split), "key", "left_semi").select("id", "component").distinct(), "forest-unlinked")
+    texts = rows.join(small(members), "id").groupBy("id", "component").agg(F.min("text").alias("text"))
+    postings = stored(texts.mapInArrow(_poster(size), "id long, component long, n long, point long"), "forest-postings")
+    by_point = postings.groupBy("point", "component").agg(F.count(F.lit(1)).alias("c"))
+    by_point = by_point.groupBy("point").agg(F.sum("c").alias("df"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("major"))
+    # a shingle that only one set has comes first in the order and pairs nothing: it counts, but isn't carried on
+    held = postings.join(by_point.where("df > 1"), "point")
+    by_id = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("df", "point")) - 1
+    ranked = held.withColumn("rest", F.col("n") - place).where(F.col("parts") > 1).where(F.col("rest") * 100 >= F.col("n") * percent)
+    ranked = stored(ranked.select("point", "id", "component", "n", "rest", "major", F.ceil(F.col("df") / POSTINGS).cast("int").alias("salts")), "forest-prefixes")
+    # every pair of components has a side that isn't the shingle's largest component; that side is a
+    salt, every = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    a = ranked.where("component <> major").select("point", salt.alias("i"), every.alias("j"), *[F.col(x).alias(f"a_{x}") for x in ("id", "component", "n", "rest")])
+    b = ranked.select("point", every.alias("i"), salt.alias("j"), (F.col("component") == F.col("major")).alias("largest"), *[F.col(x).alias(f"b_{x}") for x in ("id", "component", "n", "rest")])
+    bound = (F.least("a_rest", "b_rest") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    pairs = a.join(b, ["point", "i", "j"]).where(bound & (F.col("a_component") != F.col("b_component")) & (F.col("largest") | (F.col("a_id") < F.col("b_id"))))
+    chunks = max(1, -(-members.count() // REGION))
+    chunk = [F.pmod(F.xxhash64(x, F.lit(2)), F.lit(chunks)) for x in ("a_id", "b_id")]
+    cells = pairs.select(F.xxhash64(F.least(*chunk), F.greatest(*chunk), F.lit(3)).alias("region"), F.explode(F.array("a_id", "b_id")).alias("id"))
+    return stored(cells.distinct(), "forest-cells")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,11 +271,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     copies = stored(copies, "forest-copies")
     classed = sketch.join(small(copies), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")))
     reps = classed.where("n > 0 and id = rep").dropDuplicates(["id"]).select("id", "keys", "deep")
-    compared = stored(regions(reps).distinct(), "forest-members")
-    texts = small(compared).join(rows, "id").select("region", "id", "text")
-    dealt = texts.repartition("region").sortWithinPartitions("region", "id")
-    edges = stored(dealt.mapInPandas(_star_edges(size, percent), "a long, b long").distinct(), "forest-edges")
+    compared, crowded = regions(reps)
+
+    def linked(compared: DataFrame) -> DataFrame:
+        texts = small(compared).join(rows, "id").select("region", "id", "text")
+        dealt = texts.repartition("region").sortWithinPartitions("region", "id")
+        return stored(dealt.mapInPandas(_star_edges(size, percent), "a long, b long").distinct(), "forest-edges")
+
+    edges = linked(stored(compared.distinct(), "forest-members"))
     found = stored(components(edges).select(F.col("id").alias("rep"), "component"), "forest-components")
+    if crowded is not None:
+        more = linked(unlinked(crowded, found, rows, size, percent))
+        if not more.isEmpty():
+            both = found.select(F.col("component").alias("a"), F.col("rep").alias("b")).unionByName(more)
+            found = stored(components(both).select(F.col("id").alias("rep"), "component"), "forest-components")
     joined = classed.select("id", "n", "rep").join(small(found), "rep", "left")
     component = F.coalesce("component", "rep")
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -220,6 +220,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(want[got[i]] == want[i] for i in want)  # nothing is linked that shouldn't be
 
 
+def test_near_duplicates_link_a_star_of_copies(spark, monkeypatch):
+    """Copies that are linked to their original but not to each other, in blocks that few pivots bridge; some are cut off in length or words."""
+    monkeypatch.setattr(near_dups, "REGION", 8)
+    monkeypatch.setattr(near_dups, "PIVOTS", 1)
+    monkeypatch.setattr(near_dups, "POSTINGS", 16, raising=False)
+    rng = np.random.default_rng(5)
+    original = [f"w{i}" for i in range(200)]
+    texts = {0: " ".join(original)}
+    for i in range(1, 150):
+        words = list(original)
+        for at in rng.choice(190, 1 + i % 6, replace=False):
+            words[at] = f"x{rng.integers(0, 40)}" if i % 2 else f"y{i}z{at}"
+        texts[1000 - i] = " ".join(words[: 200 - i % 7])
+    want = components_of(texts, 3, 90)
+    assert 1 < len(set(want.values())) < 100
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(rows, size=3, percent=90).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd_input(spark):
     rows = near_dups.near_duplicates(odd(spark), size=3, percent=85).collect()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}

@@ -2,7 +2,9 @@
 
 Novelty measures how many bytes a candidate adds to the zstandard frame of the text around it, with a dictionary of common
 identifiers in front. What the surroundings or the dictionary know costs a few bytes; a random string costs nearly its own
-entropy. A candidate with a sensitive word shortly before it is reported if its marginal bytes are at least ``NOVELTY`` of its length.
+entropy. A candidate with a sensitive word shortly before or after it is reported if its marginal bytes are at least ``NOVELTY`` of its
+length. Candidates that only white space or punctuation parts, such as the lines of a key block or the parts of a signed token, are a
+run and share their context; so do all inside a private key block. Beside a base span the rest of a candidate is judged.
 
 Spans are ``kind:start:end`` in code points, the end exclusive. Null and empty texts have none. Repeated rows are scanned row by
 row; columns other than the key and text are ignored.
@@ -23,8 +25,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|credential|authori[sz]ation|bearer|private[_-]?key|access[_-]?key|signature|client[_-]?id", re.I | re.A)
-CONTEXT_BEFORE, SURROUNDING, NOVELTY = 64, 256, 0.55
+SENSITIVE = re.compile(r"passw|secret|token|api[\x20_-]?key|credential|authori[sz]ation|bearer|private[\x20_-]?key|access[\x20_-]?key|signature|client[\x20_-]?id", re.I | re.A)
+#: What parts two candidates of a run; a private key block's header; its last line, if too short for a candidate.
+GAP = re.compile(r"(?:\\[nrt]|[\W_])*")
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+LAST_LINE = re.compile(r"(?:\s|\\[nrt]){1,64}([A-Za-z0-9+/_=-]{1,19}?)(?:\s|\\[nrt]){0,64}-----END")
+CONTEXT, SURROUNDING, NOVELTY = 64, 256, 0.55
 #: The dictionary in front of every frame, unless the caller gives another one.
 IDENTIFIERS = (
     "password passwd secret token apikey api_key access_key private_key client_id client_secret authorization bearer credential signature "
@@ -63,21 +69,53 @@ class Scanner:
         around, whole = (before + after).encode("utf-8", "replace"), (before + after + candidate).encode("utf-8", "replace")
         return (len(self.frame(whole)) - len(self.frame(around))) / len(candidate)
 
+    def runs(self, text: str) -> list[list[tuple[int, int]]]:
+        """Runs of adjacent candidates, in sensitive context."""
+        runs: list[list[tuple[int, int]]] = []
+        for m in CANDIDATE.finditer(text):
+            if runs and m.start() - runs[-1][-1][1] <= CONTEXT and GAP.fullmatch(text, runs[-1][-1][1], m.start()):
+                runs[-1].append(m.span())
+            else:
+                runs.append([m.span()])
+        blocks: list[tuple[int, int]] = []
+        for m in BLOCK.finditer(text):
+            if not blocks or blocks[-1][1] < m.end():
+                blocks.append((m.end(), text.find("-----END", m.end())))
+            if blocks[-1][1] < 0:
+                blocks.pop()
+                break
+        found, at = [], 0
+        for run in runs:
+            (first, first_end), (last, last_end) = run[0], run[-1]
+            while at < len(blocks) and blocks[at][1] <= first:
+                at += 1
+            in_block = at < len(blocks) and blocks[at][0] <= last_end
+            if in_block or SENSITIVE.search(text, max(0, first - CONTEXT), last) or SENSITIVE.search(text, first_end, last_end + CONTEXT):
+                found.append(run)
+        return found
+
     def novel(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates beside the spans in ``taken``, in sensitive context and novel."""
+        """Candidates, or what the spans in ``taken`` leave of them, in sensitive context and novel."""
         if b"c" * 20 not in text.encode("utf-8", "surrogatepass").translate(_CAND):
             return []
-        found, busy, at = [], sorted((s, e) for s, _, e in taken), 0
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            while at < len(busy) and busy[at][1] <= start:
+        found, at = [], 0
+        for start, end in (span for run in self.runs(text) for span in run):
+            while at < len(taken) and taken[at][2] <= start:
                 at += 1
-            if at < len(busy) and busy[at][0] < end or not any(map(str.isdigit, m[0])):
-                continue
-            if not SENSITIVE.search(text, max(0, start - CONTEXT_BEFORE), start):
-                continue
-            if self.marginal(text[max(0, start - SURROUNDING) : start], m[0], text[end : end + SURROUNDING]) >= self.novelty:
-                found.append((start, 3, end))
+            parts, left, i = [], start, at
+            while i < len(taken) and taken[i][0] < end:
+                s, kind, e = taken[i]
+                # what stands before an assignment is part of its name, unless it is a candidate by itself
+                if s - left >= (20 if kind == 0 else 1):
+                    parts.append((left, s))
+                left, i = e, i + 1
+            if left < end:
+                parts.append((left, end))
+            for s, e in parts:
+                if any(map(str.isdigit, text[s:e])) and self.marginal(text[max(0, s - SURROUNDING) : s], text[s:e], text[e : e + SURROUNDING]) >= self.novelty:
+                    found.append((s, 3, e))
+            if parts and found and found[-1][2] == end and (m := LAST_LINE.match(text, end)):
+                found.append((m.start(1), 3, m.end(1)))
         return found
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -86,7 +124,7 @@ class Scanner:
         longest: list[tuple[int, int, int]] = []
         for s, k, e in base:  # disjoint cover, so that candidates meet each at most once
             if longest and s < longest[-1][2]:
-                longest[-1] = (longest[-1][0], k, max(e, longest[-1][2]))
+                longest[-1] = (longest[-1][0], longest[-1][1], max(e, longest[-1][2]))
             else:
                 longest.append((s, k, e))
         return base, sorted(base + self.novel(text, longest))

@@ -303,6 +303,35 @@ def test_secrets_novelty_knows_its_surroundings():
     assert scan.marginal("seen Zx9Qk2LmP7vRt4WyB8nHc3 token = ", "Zx9Qk2LmP7vRt4WyB8nHc3", "") < 0.4
 
 
+def test_secrets_in_wide_context():
+    import random
+
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rng.choices(letters, k=n - 1)) + "7"
+    lines, parts, one = [drawn(64) for _ in range(12)] + [drawn(30)], [drawn(36), drawn(120), drawn(43)], drawn(40)
+    block = lambda kind, gap, body: f"-----BEGIN {kind}PRIVATE KEY-----{gap}{gap.join(body)}{gap}-----END {kind}PRIVATE KEY-----"
+    mixed = "Qz9" + "0123456789abcdef01234567" + "XkT4wZ"
+    cases = {
+        block("RSA ", "\n", lines): lines,
+        block("", "\n        ", [*lines, "aB3="]): [*lines, "aB3="],
+        block("EC ", "\\n", lines): lines,
+        block("RSA ", "\n", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC, of some length", "", *lines]): lines,
+        f"an API key {one} here": [one],
+        f"access key {one}": [one],
+        f"Authorization: Bearer {'.'.join(parts)}": parts,
+        f"{'.'.join(parts)} is my client secret": parts,
+        f"bearer {mixed} end": ["Qz9", "XkT4wZ"],
+    }
+    scanner = secrets.Scanner()
+    for text, gone in cases.items():
+        left = secrets.redact(text, scanner.scan(text)[1])
+        assert not [x for x in gone if x in left], left
+    assert scanner.scan(f"nothing of note {one} here")[1] == []
+    plain_name = "user_id_42_password=hunter2"
+    assert scanner.scan(plain_name)[1] == scanner.scan(plain_name)[0]
+
+
 def test_secrets_odd_input(spark):
     rows = odd(spark).select("text", secrets.scanned(F.col("text")).alias("s"), secrets.redacted(F.col("text")).alias("r")).collect()
     assert all(r.s.spans == "" and r.r == r.text for r in rows)

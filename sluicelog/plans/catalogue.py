@@ -577,9 +577,14 @@ def np_exclusive_drop(spark, sf_dir):
 
 @query("np_shared_drop", with_log("SELECT topic, ord AS seq, CASE WHEN ord < 300 THEN 1 + ord % 3 WHEN ord < 500 THEN CASE WHEN ord % 3 = 0 THEN 2 ELSE 1 + ord % 3 END END::BIGINT AS consumer_id FROM log WHERE ord < 300 OR ord >= 700"))
 def np_shared_drop(spark, sf_dir):
-    """Three consumers in turn; the first runs out, then all do. Compared where turns don't probe."""
-    found = folds.transient(_published(keyed(the_log(spark, sf_dir)), [(1, 100), (2, 200), (3, 200)]), "Shared", [(1, 0), (2, 0), (3, 5)])
-    return found.where("seq < 300 or seq >= 700")
+    """Three consumers in turn; the first runs out, then all do. Compared where turns don't probe; ``np_shared_drop_probing`` has all rows."""
+    return np_shared_drop_probing(spark, sf_dir).where("seq < 300 or seq >= 700")
+
+
+@query("np_shared_drop_probing", with_log("SELECT topic, ord AS seq, CASE WHEN ord < 300 THEN 1 + ord % 3 WHEN ord < 450 THEN CASE WHEN ord % 3 = 2 THEN 3 ELSE 2 END WHEN ord < 500 THEN 3 END::BIGINT AS consumer_id FROM log"))
+def np_shared_drop_probing(spark, sf_dir):
+    """Every turn: from 300 on the first consumer's go to the second, from 450 on all go to the third, from 500 on all drop."""
+    return folds.transient(_published(keyed(the_log(spark, sf_dir)), [(1, 100), (2, 200), (3, 200)]), "Shared", [(1, 0), (2, 0), (3, 5)])
 
 
 @query("np_key_shared_drop", with_log("SELECT topic, ord AS seq, CASE WHEN nth <= 400 THEN 1 + slot END::BIGINT AS consumer_id FROM (SELECT *, row_number() OVER (PARTITION BY topic, slot ORDER BY ord) AS nth FROM (SELECT *, (sticky_hash * 3 + 2) // 65536 AS slot FROM log JOIN hashed USING (partition_key)))", HASHED))

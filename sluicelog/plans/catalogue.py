@@ -315,11 +315,21 @@ def failover_active_ring(spark, sf_dir):
     return routing.transient_failover_active(members)
 
 
+def _partition_owners(part: DataFrame) -> DataFrame:
+    parts = part.select(F.concat(F.lit("t-partition-"), F.col("p_partkey").cast("string")).alias("topic"), F.col("p_partkey").alias("partition"))
+    members = consumers(part.sparkSession, parts, [(1, "a", 0), (2, "b", 0), (3, "c", 0), (4, "d", 9)]).join(parts, "topic")
+    return routing.transient_failover_active(members).join(parts, "topic").select("partition", "consumer_id")
+
+
 @query("failover_partition_mod", "SELECT p_partkey AS partition, [1, 2, 3][1 + p_partkey % 3]::BIGINT AS consumer_id FROM part WHERE p_size = 7")
 def failover_partition_mod(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 7").select(F.concat(F.lit("t-partition-"), F.col("p_partkey").cast("string")).alias("topic"), F.col("p_partkey").alias("partition"))
-    members = consumers(spark, parts, [(1, "a", 0), (2, "b", 0), (3, "c", 0), (4, "d", 9)]).join(parts, "topic")
-    return routing.transient_failover_active(members).join(parts, "topic").select("partition", "consumer_id")
+    return _partition_owners(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 7"))
+
+
+@query("failover_partition_mod_all", "SELECT p_partkey AS partition, [1, 2, 3][1 + p_partkey % 3]::BIGINT AS consumer_id FROM part")
+def failover_partition_mod_all(spark, sf_dir):
+    """Every partition; ``failover_partition_mod`` has those of one size only."""
+    return _partition_owners(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 @query("shared_round_robin", with_log("SELECT topic, ord, 1 + ord % 3 AS consumer_id FROM log"))

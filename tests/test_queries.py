@@ -36,3 +36,9 @@ def test_transient_shared_keeps_the_turns_that_probe(spark):
     con.execute(f"CREATE VIEW events AS FROM '{tables}/events.parquet'")
     stated = {(topic, seq): c for topic, seq, c in con.execute(catalogue.SQL["np_shared_drop_probing"]).fetchall()}
     assert got == want == stated
+
+
+def test_every_partition_elects(spark):
+    n = spark.read.parquet(f"{TABLES}/part.parquet").count()
+    got = {r.partition: r.consumer_id for r in catalogue.QUERIES["failover_partition_mod_all"](spark, TABLES).collect()}
+    assert len(got) == n and all(c == 1 + p % 3 for p, c in got.items())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicelog.llm import bpe, decontamination, langid, near_dups, secrets
-from sluicelog.llm.common import fresh, stored
+from sluicelog.llm.common import fresh, small, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, likeness 0.8): the one with the smallest id.
 
-    Documents without an id can't be compared and stay; rows that repeat an id are one document.
+    Documents without an id can't be compared and stay; rows that repeat id and text are one document, rows that repeat the id alone aren't.
     """
-    found = near_dups.near_duplicates(docs, size=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    identified = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return identified.unionByName(kept.where("doc_id is null"))
+    digest, number = fresh(docs, "text_digest", "document_number")
+    marked = docs.withColumn(digest, F.coalesce(F.sha2("text", 256), F.lit("")))
+    identified = marked.where("doc_id is not null")
+    if identified.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").isEmpty():
+        numbered = docs.withColumn(number, F.col("doc_id"))
+    else:  # numbers in the order of the ids, so that the smallest id is kept
+        numbers = identified.select("doc_id", digest).distinct().orderBy("doc_id", digest).withColumn(number, F.monotonically_increasing_id())
+        numbers = stored(numbers, "document-numbers")
+        numbered = stored(marked.join(small(numbers), ["doc_id", digest], "left"), "documents-numbered")
+    found = near_dups.near_duplicates(numbered, key=number, size=5, percent=80)
+    gone = found.where("not kept").select(F.col(number).alias("gone_id")).distinct()
+    kept = numbered.join(gone, F.col(number) == F.col("gone_id"), "left_anti")
+    single = kept.where(F.col(number).isNotNull()).dropDuplicates([number])
+    return single.unionByName(kept.where(F.col(number).isNull())).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,12 @@ def test_no_window_and_no_base_span_is_left(spark):
     assert hits.where("contaminated").count() == 0
     safe = corpus_pipeline.remove_secrets(spark, rows, TABLES).select(secrets.scanned(F.col("text")).alias("s"))
     assert safe.where("s.spans <> ''").count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (5, text("b")), (2, text("b") + " x"), (9, text("a") + " y"), (7, text("c")), (7, None), (None, text("d"))]
+    docs = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, TABLES)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(5, text("a")), (2, text("b") + " x"), (7, text("c")), (7, None), (None, text("d"))} and got.count() == 5

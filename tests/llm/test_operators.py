@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicelog.llm import SQL, QUERIES, bpe, decontamination, fingerprints, langid, near_dups, pii, secrets, toxicity, url_rules, warc
+from sluicelog.llm import SQL, QUERIES, bpe, common, decontamination, fingerprints, langid, near_dups, pii, secrets, toxicity, url_rules, warc
 
 from ..conftest import TABLES, plain
 
@@ -368,6 +368,30 @@ def test_decontamination_odd_input(spark):
     assert sum(r.contaminated for r in decontamination.hits(docs, items.limit(0)).collect()) == 0
 
 
+def test_decontamination_by_shuffle_equals_broadcast(spark, monkeypatch):
+    """Prefixes that outgrow a broadcast, letters outside ASCII in either case, and a window that all items share."""
+    shared = " ".join(f"Größe{i} É{i}" for i in range(5))
+    items = spark.createDataFrame([(i, shared + f" own{i}") for i in range(40)] + [(99, "ÀB c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {shared.replace('G', 'g')}, own3 y"), (2, shared.lower()), (3, "-àb C-Àb c.ÀB,C!"), (3, "-àb C-Àb c.ÀB,C!"), (4, None), (None, shared)], "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 40)
+    got = plain(decontamination.hits(docs, items).toPandas())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert got == plain(decontamination.hits(docs, items).toPandas())
+    rows = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items) for r in decontamination.hits(docs, items).collect())
+    assert rows == [(-1, 10, 10, 40), (1, 13, 11, 40), (2, 10, 0, 0), (3, 6, 4, 1), (3, 6, 4, 1), (4, 0, 0, 0)]
+
+
+def test_decontamination_of_a_very_long_text_stays_linear(spark):
+    """The probe stays compiled, so a text's words aren't copied for each of them."""
+    import time
+
+    docs = spark.createDataFrame([(1, "some words of a text " * 200_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "of a text some")], "item_id long, text string")
+    began = time.time()
+    row = decontamination.hits(docs, items).first()
+    assert (row.n_words, row.n_hit) == (1_000_000, 799_996) and time.time() - began < 60
+
+
 # 10
 
 

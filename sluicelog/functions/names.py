@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TOPIC = r"^(persistent|non-persistent)://([^/]+)/([^/]+)/(.+)$"
 SUBSCRIPTION_TYPES = ("Exclusive", "Shared", "Failover", "KeyShared")
 CUMULATIVE_ACK = 1
-LATEST_SENTINEL = 2**63 - 1
+EARLIEST_SENTINEL, LATEST_SENTINEL = -1, 2**63 - 1
 
 
 def topic_parts(name: Column) -> Column:
@@ -73,6 +73,14 @@ def initial_position(code: Column) -> Column:
     return F.when(code == 1, "Earliest").otherwise("Latest")
 
 
+def start_position(ledger: Column, entry: Column, code: Column) -> Column:
+    """A struct of the initial position and the start id of a subscribe: an id of two equal sentinels sets the position and is no id."""
+    earliest, latest = ((ledger == s) & (entry == s) for s in (EARLIEST_SENTINEL, LATEST_SENTINEL))
+    initial = F.when(earliest, "Earliest").when(latest, "Latest").otherwise(initial_position(code))
+    own = F.when(~F.coalesce(earliest | latest, F.lit(False)), ledger)
+    return F.struct(initial.alias("initial"), own.alias("start_ledger"), F.when(own.isNotNull(), entry).alias("start_entry"))
+
+
 def log_file_number(name: Column) -> Column:
     """The number in ``N.log``, else null."""
     return F.nullif(F.regexp_extract(name, r"^(\d{1,18})\.log$", 1), F.lit("")).cast("long")

@@ -6,10 +6,16 @@ sequence and streamed through, so no key's history is gathered in memory. One ke
 
 from __future__ import annotations
 
+import heapq
+import re
+import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.hashing import HASH_RANGE
 
 BATCH = 20
 
@@ -57,6 +63,70 @@ def rate_limited(log: DataFrame, messages: int = 0, size: int = 0, width_us: int
     return fold(rows, ["topic"], ["at_us", "event_id"], lambda _: RateLimit(messages, size, width_us), lambda s, e: [(e[1], s.allow(e[2], e[3]))], "topic string, event_id long, accepted boolean")
 
 
+def ring_hash(text: str) -> int:
+    """MurmurHash3 x86-32 with seed 0, as ``functions.hashing.murmur3_32`` computes it on columns."""
+    data, mask, h = text.encode(), 0xFFFFFFFF, 0
+    turned = lambda x, r: (x << r | x >> (32 - r)) & mask
+    mixed = lambda k: turned(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    whole = len(data) // 4 * 4
+    for (k,) in struct.iter_unpack("<I", data[:whole]):
+        h = (turned(h ^ mixed(k), 13) * 5 + 0xE6546B64) & mask
+    h ^= mixed(int.from_bytes(data[whole:], "little")) ^ len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def key_owners(ranges: dict[int, list[int]], ids: list[int], key: int) -> list[int]:
+    """The consumers whose hash range has the key, in the order of choice: by given ranges (bounds in pairs) if there are any, else by equal ones."""
+    if any(ranges.get(c) for c in ids):
+        held = sorted((*pair, c) for c in ids for pair in zip(ranges[c][::2], ranges[c][1::2]))
+        return [c for start, end, c in held if start <= key <= end]
+    ids = sorted(ids)
+    return [ids[(key * len(ids) + len(ids) - 1) // HASH_RANGE]] if ids else []
+
+
+class Queue:
+    """Entries that wait for redelivery, with their counts: the first of all, the first of each key, and whether a key has any, without a scan."""
+
+    def __init__(self):
+        self.counts: dict[int, int] = {}
+        self.order: list[int] = []
+        self.keys: dict[int, list[int]] = {}
+        self.key_of: dict[int, int] = {}
+
+    def put(self, o: int, count: int, key: int) -> None:
+        if o not in self.counts:
+            heapq.heappush(self.order, o)
+            heapq.heappush(self.keys.setdefault(key, []), o)
+            self.key_of[o] = key
+        self.counts[o] = max(self.counts.get(o, 0), count)
+
+    def take(self, o: int) -> int:
+        """Remove an entry; its count, 0 if it isn't there. Heaps forget it when it comes up."""
+        self._settle(self.keys, self.key_of.pop(o, None), o)
+        return self.counts.pop(o, 0)
+
+    def _settle(self, heaps: dict, key: int | None, gone: int) -> None:
+        heap = heaps.get(key, [])
+        while heap and (heap[0] == gone or heap[0] not in self.counts):
+            heapq.heappop(heap)
+        if not heap:
+            heaps.pop(key, None)
+
+    def first(self) -> int | None:
+        while self.order and self.order[0] not in self.counts:
+            heapq.heappop(self.order)
+        return self.order[0] if self.order else None
+
+    def first_of(self, ready: Callable[[int], bool]) -> int | None:
+        """The first entry whose key is ready."""
+        return min((heap[0] for key, heap in self.keys.items() if ready(key)), default=None)
+
+    def __contains__(self, o: int) -> bool:
+        return o in self.counts
+
+
 class Subscription:
     """The dispatch state of one durable subscription. Every trigger (publish, flow, redeliver, leave) delivers up to ``BATCH`` messages.
 
@@ -66,8 +136,10 @@ class Subscription:
     def __init__(self, mode: str):
         self.mode, self.log, self.read, self.acked, self.frontier = mode, {}, 0, set(), -1
         self.consumers: dict[int, dict] = {}
-        self.queue: dict[int, tuple[int, int | None]] = {}
-        self.turn, self.again, self.flying = 0, {}, set()
+        self.queue = Queue()
+        self.turn, self.flying = 0, set()
+        self.again: dict[int, int] = {}  # delivered again and not acked yet, with their keys
+        self.held_keys: dict[int, int] = {}  # how many of these a key has
 
     # membership
 
@@ -77,16 +149,24 @@ class Subscription:
             return sorted(self.consumers, key=lambda c: (-self.consumers[c]["priority"], self.consumers[c]["name"], c))
         return sorted(self.consumers, key=lambda c: (self.consumers[c]["priority"], self.consumers[c]["joined"]))
 
-    def join(self, consumer: int, priority: int, name: str, seq: int) -> bool:
+    def join(self, consumer: int, priority: int, name: str, seq: int, ranges: list[int] | None = None) -> bool:
         if self.mode == "Exclusive" and self.consumers or consumer in self.consumers:
             return False
-        self.consumers[consumer] = {"priority": priority, "name": name, "joined": seq, "permits": 0, "held": {}}
+        self.consumers[consumer] = {"priority": priority, "name": name, "joined": seq, "permits": 0, "held": {}, "ranges": ranges or []}
         return True
 
     def leave(self, consumer: int) -> None:
-        gone = self.consumers.pop(consumer, None)
-        if gone is None:
+        if consumer not in self.consumers:
             return
+        place, left = self.order().index(consumer), len(self.consumers) - 1
+        gone = self.consumers.pop(consumer)
+        # the turn goes on with whom it would have come to next
+        if not left:
+            self.turn = 0
+        elif self.turn > place:
+            self.turn -= 1
+        elif self.turn >= left:
+            self.turn %= left
         self.flying.difference_update(gone["held"])
         held = [o for o in gone["held"] if not self.is_acked(o)]
         if self.mode in ("Shared", "KeyShared"):
@@ -118,8 +198,8 @@ class Subscription:
             return
         del self.consumers[owner]["held"][o]
         self.flying.discard(o)
-        self.queue.pop(o, None)
-        self.again.pop(o, None)
+        self.queue.take(o)
+        self.settle(o)
         if not self.is_acked(o):
             self.acked.add(o)
         while self.frontier + 1 in self.acked:
@@ -128,10 +208,17 @@ class Subscription:
 
     # redelivery
 
-    def requeue(self, o: int, count: int, key: int | None) -> None:
-        self.again.pop(o, None)
-        before = self.queue.get(o, (0, None))
-        self.queue[o] = max(before[0], count), before[1] if before[1] is not None else key
+    def settle(self, o: int) -> None:
+        """An entry delivered again no longer blocks its key."""
+        key = self.again.pop(o, None)
+        if key is not None:
+            self.held_keys[key] -= 1
+            if not self.held_keys[key]:
+                del self.held_keys[key]
+
+    def requeue(self, o: int, count: int, key: int) -> None:
+        self.settle(o)
+        self.queue.put(o, count, key)
 
     def redeliver(self, consumer: int, ords: list[int]) -> None:
         own = self.consumers.get(consumer)
@@ -147,8 +234,9 @@ class Subscription:
     def seek(self, o: int) -> None:
         self.frontier, self.read = o - 1, o
         self.acked.clear()
-        self.queue.clear()
+        self.queue = Queue()
         self.again.clear()
+        self.held_keys.clear()
         self.flying.clear()
         for c in self.consumers.values():
             c["held"].clear()
@@ -163,24 +251,27 @@ class Subscription:
         return None
 
     def pick(self) -> int | None:
-        """Shared: in turn within a priority; a smaller priority number with permits always comes first."""
+        """Shared: in turn within a priority; a smaller priority number with permits comes first, a larger one if nobody else has any."""
         order = self.order()
-        if not order:
+        level = lambda i: self.consumers[order[i]]["priority"]
+        able = [i for i, c in enumerate(order) if self.consumers[c]["permits"] > 0]
+        if not able:
             return None
-        level = next((self.consumers[c]["priority"] for c in order if self.consumers[c]["permits"] > 0), None)
-        if level is None:
+        at = self.turn % len(order)
+        own = level(at)
+        # nobody is looked for before priority 0
+        before = [i for i in able if level(i) < own] if own != 0 else []
+        peers = [i for i in able if level(i) == own]
+        after = [i for i in able if level(i) > own]
+        chosen = before or [i for i in peers if i >= at] or peers or after
+        if not chosen:
             return None
-        peers = [i for i, c in enumerate(order) if self.consumers[c]["priority"] == level]
-        start = self.turn % len(order)
-        ring = [i for i in peers if i >= start] + [i for i in peers if i < start]
-        at = next(i for i in ring if self.consumers[order[i]]["permits"] > 0)
-        self.turn = at + 1
-        return order[at]
+        self.turn = (chosen[0] + 1) % len(order)
+        return order[chosen[0]]
 
     def key_owner(self, key: int) -> int | None:
-        ids = sorted(self.consumers)
-        own = ids[(key * len(ids) + len(ids) - 1) // 65536] if ids else None
-        return own if own is not None and self.consumers[own]["permits"] > 0 else None
+        owners = key_owners({c: x["ranges"] for c, x in self.consumers.items()}, list(self.consumers), key)
+        return next((c for c in owners if self.consumers[c]["permits"] > 0), None)
 
     def send(self, consumer: int, o: int, count: int) -> tuple[int, int, int]:
         own = self.consumers[consumer]
@@ -201,37 +292,39 @@ class Subscription:
             out.append(self.send(order[0], o, 0))
         return out
 
+    def first_queued(self, ready: Callable[[int], bool] | None = None) -> int | None:
+        """The first queued entry, of those whose key is ready; acked ones and unknown ones are dropped on the way."""
+        while (o := self.queue.first() if ready is None else self.queue.first_of(ready)) is not None:
+            if not self.is_acked(o) and o in self.log:
+                return o
+            self.queue.take(o)
+        return None
+
     def trigger_shared(self) -> list[tuple[int, int, int]]:
         out = []
         for _ in range(min(BATCH, sum(c["permits"] for c in self.consumers.values()))):
-            while self.queue and (self.is_acked(min(self.queue)) or min(self.queue) not in self.log):
-                del self.queue[min(self.queue)]
-            o = min(self.queue) if self.queue else self.next_new()
+            queued = self.first_queued()
+            o = self.next_new() if queued is None else queued
             if o is None or (consumer := self.pick()) is None:
                 break
-            count = self.queue.pop(o)[0] if o in self.queue else 0
-            self.read = max(self.read, o + 1) if not count else self.read
+            count = self.queue.take(o)
+            self.read = max(self.read, o + 1) if queued is None else self.read
             out.append(self.send(consumer, o, count))
         return out
 
     def blocked(self, key: int) -> bool:
-        return key in (k for _, k in self.queue.values()) or key in self.again.values()
+        return key in self.queue.keys or key in self.held_keys
 
     def trigger_keys(self) -> list[tuple[int, int, int]]:
         """Queued messages whose key's owner has permits come first. A new message with a blocked key joins the queue; one without an owner stops the pass."""
         out, left = [], min(BATCH, sum(c["permits"] for c in self.consumers.values()))
         while left:
-            ready = None
-            for o in sorted(self.queue):
-                if self.is_acked(o) or o not in self.log:
-                    del self.queue[o]
-                elif self.log[o] not in self.again.values() and self.key_owner(self.log[o]) is not None:
-                    ready = o
-                    break
+            ready = self.first_queued(lambda key: key not in self.held_keys and self.key_owner(key) is not None)
             if ready is not None:
-                count, _ = self.queue.pop(ready)
-                self.again[ready] = self.log[ready]
-                out.append(self.send(self.key_owner(self.log[ready]), ready, count))
+                count, key = self.queue.take(ready), self.log[ready]
+                self.again[ready] = key
+                self.held_keys[key] = self.held_keys.get(key, 0) + 1
+                out.append(self.send(self.key_owner(key), ready, count))
                 left -= 1
                 continue
             if (o := self.next_new()) is None:
@@ -247,12 +340,12 @@ class Subscription:
             left -= 1
         return out
 
-    def event(self, kind: str, consumer: int | None, o: int | None, n: int | None, name: str | None, seq: int) -> list[tuple[int, int, int]]:
+    def event(self, kind: str, consumer: int | None, o: int | None, n: int | None, name: str | None, seq: int, ranges: list[int] | None = None) -> list[tuple[int, int, int]]:
         """Apply one event; only publishing, flow, redelivery requests and leaving deliver. Acks don't."""
         if kind == "publish":
             self.log[o] = n or 0
         elif kind == "join":
-            self.join(consumer, n or 0, name or "", seq)
+            self.join(consumer, n or 0, name or "", seq, ranges)
             return []
         elif kind == "leave":
             self.leave(consumer)
@@ -279,44 +372,87 @@ class Subscription:
 DISPATCH = "topic string, subscription string, seq long, consumer_id long, ord long, redelivery_count long"
 
 
+def _ints(values) -> list[int] | None:
+    return None if values is None else [int(x) for x in values]
+
+
+def _with_ranges(events: DataFrame) -> DataFrame:
+    return events if "ranges" in events.columns else events.withColumn("ranges", F.lit(None).cast("array<int>"))
+
+
 def dispatched(events: DataFrame, mode: str) -> DataFrame:
-    """Deliveries of an ordered event history: ``events`` has topic, subscription, seq, kind, consumer_id, ord, n and name.
+    """Deliveries of an ordered event history: ``events`` has topic, subscription, seq, kind, consumer_id, ord, n, name and, if consumers choose them, ranges.
 
-    ``n`` is the key hash of a publish, the permits of a flow, the priority of a join.
+    ``n`` is the key hash of a publish, the permits of a flow, the priority of a join; ``ranges`` of a join are the bounds of its hash ranges in pairs.
     """
-    rows = events.select("topic", "subscription", "seq", "kind", "consumer_id", "ord", "n", "name")
-    step = lambda s, e: [(e[2], *d) for d in s.event(e[3], *(None if x is None else int(x) for x in e[4:7]), e[7], e[2])]
+    rows = _with_ranges(events).select("topic", "subscription", "seq", "kind", "consumer_id", "ord", "n", "name", "ranges")
+    step = lambda s, e: [(e[2], *d) for d in s.event(e[3], *(None if x is None else int(x) for x in e[4:7]), e[7], e[2], _ints(e[8]))]
     return fold(rows, ["topic", "subscription"], ["seq"], lambda _: Subscription(mode), step, DISPATCH)
 
 
 class Transient:
     """Delivery without storage: a message goes to a consumer that has permits, or is dropped.
 
-    ``Shared`` tries the consumers from the next in turn on (priority only orders them); ``KeyShared`` knows the key's owner only; ``Exclusive`` and
-    ``Failover`` the active consumer only.
+    ``Shared`` tries the consumers from the next in turn on (priority only orders them); ``KeyShared`` knows the key's owners only; ``Exclusive`` and
+    ``Failover`` the active consumer only. Consumers come and go by ``join`` and ``leave``; those given at the start have no names.
     """
 
-    def __init__(self, mode: str, consumers: list[tuple[int, int]]):
-        self.mode, self.order = mode, [c for c, _ in sorted(consumers, key=lambda c: (c[1], c[0]))]
-        self.permits, self.turn = dict.fromkeys(self.order, 0), 0
+    def __init__(self, mode: str, consumers: list[tuple[int, int]], topic: str = ""):
+        self.mode, self.topic, self.turn = mode, topic, 0
+        self.permits: dict[int, int] = {}
+        self.members: dict[int, tuple[int, str]] = {}
+        self.ranges: dict[int, list[int]] = {}
+        for c, priority in consumers:
+            self.join(c, priority, "", None)
+
+    def join(self, consumer: int, priority: int, name: str, ranges: list[int] | None) -> None:
+        if consumer in self.members or self.mode == "Exclusive" and self.members:
+            return
+        self.members[consumer], self.permits[consumer], self.ranges[consumer] = (priority, name), 0, ranges or []
+        self.arranged()
 
-    def event(self, kind: str, consumer: int | None, n: int | None) -> int | None:
-        """The consumer of a publish (null: dropped). A fenced subscription has no consumers any more."""
-        if kind == "flow":
+    def arranged(self) -> None:
+        """The order of consumers, and the active one, after a change of membership."""
+        if self.mode in ("Exclusive", "Failover"):
+            self.order = self.elected()
+        else:
+            self.order = sorted(self.members, key=lambda c: (self.members[c][0], c))
+
+    def elected(self) -> list[int]:
+        """The active consumer: of those of the smallest priority number, by names, a partition takes them in turn and another topic the successor on a ring."""
+        least = min((p for p, _ in self.members.values()), default=0)
+        top = sorted((c for c in self.members if self.members[c][0] == least), key=lambda c: self.members[c][1])
+        partition = re.search(r"-partition-(\d+)$", self.topic)
+        if len(top) < 2:
+            return top
+        if partition:
+            return [top[int(partition[1]) % len(top)]]
+        own = ring_hash(self.topic)
+        points = [(ring_hash(f"{self.members[c][1]}{r}"), i, r) for i, c in enumerate(top) for r in range(100)]
+        return [top[min(points, key=lambda p: (p[0] < own, *p))[1]]]
+
+    def event(self, kind: str, consumer: int | None, n: int | None, name: str | None = None, ranges: list[int] | None = None) -> int | None:
+        """The consumer of a publish (null: dropped). A fenced subscription has no consumers any more; permits of strangers count for nothing."""
+        if kind == "join":
+            self.join(consumer, n or 0, name or "", ranges)
+        elif kind == "leave" and consumer in self.members:
+            for held in (self.members, self.permits, self.ranges):
+                del held[consumer]
+            self.arranged()
+        elif kind == "flow" and consumer in self.permits:
             self.permits[consumer] += n
-            return None
-        if kind == "fence":
-            self.order, self.permits = [], {}
+        elif kind == "fence":
+            self.members, self.permits, self.ranges, self.order = {}, {}, {}, []
+        if kind != "publish":
             return None
         tried: list[int] = []
         if self.mode == "Shared":
-            if sum(self.permits.values()) and self.order:
+            if self.order and sum(self.permits.values()):
                 start = self.turn % len(self.order)
                 self.turn += 1
                 tried = self.order[start:] + self.order[:start]
         elif self.mode == "KeyShared":
-            ids = sorted(self.order)
-            tried = [ids[((n or 0) * len(ids) + len(ids) - 1) // 65536]] if ids else []
+            tried = key_owners(self.ranges, self.order, n or 0)
         else:
             tried = self.order[:1]
         found = next((c for c in tried if self.permits[c] > 0), None)
@@ -325,12 +461,16 @@ class Transient:
         return found
 
 
-def transient(events: DataFrame, mode: str, consumers: list[tuple[int, int]]) -> DataFrame:
-    """``(topic, seq, consumer_id)`` of every publish; a null consumer is a drop. ``consumers`` are ids with priorities."""
-    rows = events.select("topic", "seq", "kind", "consumer_id", "n")
+def transient(events: DataFrame, mode: str, consumers: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``(topic, seq, consumer_id)`` of every publish; a null consumer is a drop. ``consumers`` are ids with priorities that are there from the start.
+
+    ``events`` has topic, seq, kind, consumer_id and n, and for those who join a name and ranges.
+    """
+    named = events if "name" in events.columns else events.withColumn("name", F.lit(None).cast("string"))
+    rows = _with_ranges(named).select("topic", "seq", "kind", "consumer_id", "n", "name", "ranges")
 
     def step(state: Transient, e: tuple) -> list[tuple]:
-        got = state.event(e[2], None if e[3] is None else int(e[3]), None if e[4] is None else int(e[4]))
+        got = state.event(e[2], *(None if x is None else int(x) for x in e[3:5]), e[5], _ints(e[6]))
         return [(e[1], got)] if e[2] == "publish" else []
 
-    return fold(rows, ["topic"], ["seq"], lambda _: Transient(mode, consumers), step, "topic string, seq long, consumer_id long")
+    return fold(rows, ["topic"], ["seq"], lambda key: Transient(mode, consumers or [], key[0]), step, "topic string, seq long, consumer_id long")

@@ -51,6 +51,11 @@ def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(the_log(spark, sf_dir), "log")
 
 
+def the_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics alone, for queries that need no entries."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit(log.TOPIC_PREFIX), "event_type").alias("topic")).distinct()
+
+
 def the_acks(rows: DataFrame) -> DataFrame:
     return rows.where("event_id % 7 <> 3").select("topic", F.lit("sub-a").alias("subscription"), "ord")
 
@@ -300,7 +305,7 @@ _MEMBERS = [(1, "consumer-a", 1), (3, "consumer-a", 5), (2, "consumer-b", 5), (4
 
 @query("failover_active_persistent", with_log("SELECT DISTINCT topic, 'sub-a' AS subscription, 3::BIGINT AS consumer_id FROM log"))
 def failover_active_persistent(spark, sf_dir):
-    rows = kept_log(spark, sf_dir)
+    rows = the_topics(spark, sf_dir)
     return routing.failover_active(consumers(spark, rows, _MEMBERS))
 
 
@@ -310,7 +315,7 @@ _RING = f"""pts AS (SELECT topic, id, {hashing.murmur3_sql("nm || r")} AS point,
 
 @query("failover_active_ring", with_log("SELECT topic, 'sub-a' AS subscription, min_by(id, (point < own, point, slot, r))::BIGINT AS consumer_id FROM pts GROUP BY topic", _RING))
 def failover_active_ring(spark, sf_dir):
-    rows = kept_log(spark, sf_dir)
+    rows = the_topics(spark, sf_dir)
     members = consumers(spark, rows, [(1, "failover-a", 0), (2, "failover-b", 0), (3, "failover-0", 5)]).withColumn("partition", F.lit(-1))
     return routing.transient_failover_active(members)
 
@@ -656,3 +661,260 @@ def stream_ack_frontier(spark, sf_dir):
 def stream_shared_dispatch(spark, sf_dir):
     stream = live.replayed(_history(keyed(the_log(spark, sf_dir)), _AMPLE), "seq")
     return live.drained(live.dispatches(stream, "Shared")).drop("batch", "part")
+
+
+# histories with consumers that come and go
+
+_EVENT = "seq long, kind string, consumer_id long, ord long, n long, name string, ranges array<int>"
+
+
+def _with_events(rows: DataFrame, events: list[tuple], acked: str | None = None) -> DataFrame:
+    """All publishes at ``seq = 4 * ord``, the acks by consumer 1 of those that ``acked`` holds for right after, and the same other events on every topic.
+
+    An event is ``(seq, kind, consumer, ord, n, name, ranges)``; one whose seq is over 10**9 comes after all publishes.
+    """
+    made = rows.sparkSession.createDataFrame([(*e, *[None] * 7)[:7] for e in events], _EVENT)
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["topic", "seq", "kind", "consumer_id", "ord", "n", "name", "ranges"]
+    told = rows.select("topic").distinct().join(F.broadcast(made)).select(*columns)
+    event = lambda kind, at, consumer, n: [(F.col("ord") * 4 + at).alias("seq"), F.lit(kind).alias("kind"), consumer.alias("consumer_id"), F.col("ord"), n.alias("n"), none("string").alias("name"), none("array<int>").alias("ranges")]
+    out = told.unionByName(rows.select("topic", *event("publish", 0, none("long"), F.col("sticky_hash").cast("long"))))
+    if acked:
+        out = out.unionByName(rows.where(acked).select("topic", *event("ack", 1, F.lit(1).cast("long"), none("long"))))
+    return out.withColumn("subscription", F.lit("sub-a"))
+
+
+def _joined(consumer: int, permits: int = 10**9, at: int = -100, priority: int = 0, name: str | None = None, ranges: list[int] | None = None) -> list[tuple]:
+    return [(at + 2 * consumer, "join", consumer, None, priority, name or f"c{consumer}", ranges), (at + 2 * consumer + 1, "flow", consumer, None, permits)]
+
+
+_END = 2 * 10**9
+
+
+@query("shared_leave_join", f"""WITH RECURSIVE {LOG}, f AS (
+  SELECT topic, -1::BIGINT AS ord, NULL::BIGINT AS consumer_id, 0::BIGINT AS turn FROM log WHERE ord = 0
+  UNION ALL SELECT topic, ord, order_[1 + turn % len(order_)]::BIGINT, (turn % len(order_) + 1) % len(order_) FROM (
+    SELECT l.topic, l.ord, CASE WHEN l.ord < 40 THEN [1, 2, 3] WHEN l.ord < 75 THEN [1, 2, 3, 4] ELSE [2, 3, 4] END AS order_,
+      CASE WHEN l.ord = 75 THEN CASE WHEN f.turn > 0 THEN f.turn - 1 ELSE f.turn % 3 END ELSE f.turn END AS turn FROM f JOIN log l ON l.topic = f.topic AND l.ord = f.ord + 1))
+SELECT topic, ord, consumer_id FROM f WHERE ord >= 0""")
+def shared_leave_join(spark, sf_dir):
+    """A fourth consumer joins before entry 40, the first one leaves before entry 75: turns go on with whom they would have come to."""
+    events = [e for c in (1, 2, 3) for e in _joined(c)] + _joined(4, at=4 * 39 - 6) + [(4 * 74 + 2, "leave", 1)]
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events, "ord >= 0"), "Shared").select("topic", "ord", "consumer_id")
+
+
+@query("shared_redelivery", with_log("""SELECT topic, ord, 1 + ord % 3 AS consumer_id, 0::BIGINT AS redelivery_count FROM log UNION ALL
+SELECT topic, ord, [1, 3][1 + (t + k) % 2]::BIGINT, 1::BIGINT FROM (SELECT topic, ord, (ord - 1) // 3 AS k, CASE (max(ord) OVER (PARTITION BY topic) + 1) % 3 WHEN 2 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS t FROM log) WHERE ord % 3 = 1 AND k < 20"""))
+def shared_redelivery(spark, sf_dir):
+    """The second of three consumers leaves at the end with all that it holds; one trigger delivers twenty of these again, counted."""
+    events = [e for c in (1, 2, 3) for e in _joined(c)] + [(_END, "leave", 2)]
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events), "Shared").select("topic", "ord", "consumer_id", "redelivery_count")
+
+
+@query("shared_negative_ack", with_log("""SELECT topic, ord, 1::BIGINT AS consumer_id, 0::BIGINT AS redelivery_count FROM log UNION ALL
+SELECT topic, ord, 1::BIGINT, 1::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ord) AS nth FROM log WHERE event_id % 7 = 3) WHERE nth <= 20"""))
+def shared_negative_ack(spark, sf_dir):
+    """A consumer acks most entries and asks for the rest again: what is acked stays away."""
+    rows = keyed(the_log(spark, sf_dir))
+    return folds.dispatched(_with_events(rows, [*_joined(1), (_END, "redeliver", 1)], "event_id % 7 <> 3"), "Shared").select("topic", "ord", "consumer_id", "redelivery_count")
+
+
+@query("key_shared_redelivery", with_log("""SELECT topic, ord, 1 + (sticky_hash * 2 + 1) // 65536 AS consumer_id, 0::BIGINT AS redelivery_count FROM log JOIN hashed USING (partition_key) UNION ALL
+SELECT topic, ord, 1::BIGINT, 1::BIGINT FROM (SELECT topic, ord, row_number() OVER (PARTITION BY topic ORDER BY ord) AS nth FROM (
+  SELECT topic, min(ord) AS ord FROM log JOIN hashed USING (partition_key) WHERE (sticky_hash * 2 + 1) // 65536 = 1 GROUP BY topic, sticky_hash)) WHERE nth <= 20""", HASHED))
+def key_shared_redelivery(spark, sf_dir):
+    """One of two consumers leaves; the first entry of each of its keys goes to the other one, and blocks the rest of its key until it is acked."""
+    events = [*_joined(1), *_joined(2), (_END, "leave", 2)]
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events), "KeyShared").select("topic", "ord", "consumer_id", "redelivery_count")
+
+
+@query("key_shared_given_ranges", with_log("SELECT topic, ord, CASE WHEN sticky_hash <= 20000 THEN 1 WHEN sticky_hash <= 40000 THEN 2 ELSE 3 END::BIGINT AS consumer_id FROM log JOIN hashed USING (partition_key)", HASHED))
+def key_shared_given_ranges(spark, sf_dir):
+    """Consumers choose their hash ranges, which overlap: the first by its bounds has the key."""
+    events = _joined(1, ranges=[0, 20000]) + _joined(2, ranges=[10000, 40000]) + _joined(3, ranges=[60000, 65535, 40001, 59999])
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events), "KeyShared").select("topic", "ord", "consumer_id")
+
+
+@query("exclusive_handover", with_log("""SELECT topic, ord, 1::BIGINT AS consumer_id FROM log WHERE ord < 70 UNION ALL SELECT topic, ord, 2::BIGINT FROM (
+  SELECT topic, ord, row_number() OVER (PARTITION BY topic ORDER BY ord) AS nth FROM log WHERE ord >= 70 OR event_id % 7 = 3) WHERE nth <= 15"""))
+def exclusive_handover(spark, sf_dir):
+    """A second consumer is refused while the first is there; when it has left, another one reads again from the first entry that isn't acked."""
+    events = _joined(1, 70) + _joined(3, 5) + [(_END, "leave", 1), (_END + 1, "join", 2, None, 0, "late"), (_END + 2, "flow", 2, None, 15)]
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events, "event_id % 7 <> 3"), "Exclusive").select("topic", "ord", "consumer_id")
+
+
+@query("unsubscribe_resubscribe", with_log("SELECT topic, ord, 1::BIGINT AS consumer_id FROM log UNION ALL SELECT topic, ord, 2::BIGINT FROM log WHERE ord < 5"))
+def unsubscribe_resubscribe(spark, sf_dir):
+    """All is acked, then the cursor goes; who subscribes next begins at the start of the log."""
+    events = _joined(1) + [(_END, "unsubscribe"), (_END + 1, "join", 2, None, 0, "new"), (_END + 2, "flow", 2, None, 5)]
+    return folds.dispatched(_with_events(keyed(the_log(spark, sf_dir)), events, "ord >= 0"), "Shared").select("topic", "ord", "consumer_id")
+
+
+@query("np_dynamic_consumers", with_log("SELECT topic, 4 * ord AS seq, CASE WHEN ord < 40 THEN [1, 2][1 + ord % 2] WHEN ord < 75 THEN [1, 3, 2][1 + ord % 3] ELSE [3, 2][1 + ord % 2] END::BIGINT AS consumer_id FROM log"))
+def np_dynamic_consumers(spark, sf_dir):
+    """Transient delivery while consumers come and go; turns are counted on, and order is by priority and id."""
+    events = _joined(1) + _joined(2, priority=3) + _joined(3, at=4 * 39 - 5, priority=1) + [(4 * 74 + 1, "leave", 1)]
+    return folds.transient(_with_events(keyed(the_log(spark, sf_dir)), events), "Shared")
+
+
+@query("np_failover_drop", with_log("SELECT topic, 4 * ord AS seq, CASE WHEN ord < 60 THEN (SELECT min_by(id, (point < own, point, slot, r)) FROM pts p WHERE p.topic = log.topic) WHEN ord < 90 THEN 3 END::BIGINT AS consumer_id FROM log", _RING))
+def np_failover_drop(spark, sf_dir):
+    """The successor of the topic on the ring of the smallest priority number is active; when both have left, the last one is until its permits end."""
+    events = _joined(1, name="failover-a") + _joined(2, name="failover-b") + _joined(3, 30, priority=5, name="failover-0") + [(4 * 59 + 1, "leave", 1), (4 * 59 + 2, "leave", 2)]
+    return folds.transient(_with_events(keyed(the_log(spark, sf_dir)), events), "Failover")
+
+
+@query("np_fence", with_log("SELECT topic, 4 * ord AS seq, CASE WHEN ord < 80 THEN 1 + ord % 2 END::BIGINT AS consumer_id FROM log"))
+def np_fence(spark, sf_dir):
+    """After a fence nobody is served, whatever permits are granted later."""
+    events = _joined(1) + _joined(2) + [(4 * 79 + 1, "fence"), (4 * 79 + 2, "flow", 1, None, 99)]
+    return folds.transient(_with_events(keyed(the_log(spark, sf_dir)), events), "Shared")
+
+
+@query("np_key_shared_given_ranges", with_log("SELECT topic, 4 * ord AS seq, CASE WHEN sticky_hash <= 20000 THEN 1 WHEN sticky_hash BETWEEN 45000 AND 65535 THEN 2 END::BIGINT AS consumer_id FROM log JOIN hashed USING (partition_key)", HASHED))
+def np_key_shared_given_ranges(spark, sf_dir):
+    """Keys in the gap between given ranges are dropped."""
+    events = _joined(1, ranges=[0, 20000]) + _joined(2, ranges=[45000, 65535])
+    return folds.transient(_with_events(keyed(the_log(spark, sf_dir)), events), "KeyShared")
+
+
+# predicates, names and statistics that other queries only use inside
+
+
+@query("acknowledged_positions", with_log("SELECT topic, ord, event_id % 7 <> 3 OR ord < 20 AS acknowledged FROM log"))
+def acknowledged_positions(spark, sf_dir):
+    """Each position against a frontier at 19 and the hole set above it, as an array per subscription for a hundred entries at a time."""
+    rows = kept_log(spark, sf_dir)
+    block = F.floor(F.col("ord") / 100)
+    holes = rows.where("event_id % 7 <> 3 and ord > 19").groupBy("topic", block.alias("block")).agg(F.collect_set("ord").alias("holes"))
+    marked = rows.withColumn("block", block).join(holes, ["topic", "block"], "left")
+    return marked.select("topic", "ord", cursors.is_acknowledged(F.col("ord"), F.lit(19), F.col("holes")).alias("acknowledged"))
+
+
+@query("key_policy_compatible", "SELECT 't' || (o_custkey % 40) AS topic, o_orderpriority AS subscription, count(DISTINCT CASE WHEN o_orderstatus = 'P' THEN 'Sticky' ELSE 'AutoSplit' END) = 1 AS agrees FROM orders GROUP BY ALL")
+def key_policy_compatible(spark, sf_dir):
+    """Consumers without a policy count as AutoSplit."""
+    mode = F.when(F.col("o_orderstatus") == "P", "Sticky").when(F.col("o_orderstatus") == "O", "AutoSplit")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return routing.compatible(orders.select(F.concat(F.lit("t"), (F.col("o_custkey") % 40).cast("string")).alias("topic"), F.col("o_orderpriority").alias("subscription"), mode.alias("key_mode")))
+
+
+@query("wire_size", "SELECT event_id, 18 + strlen(event_type) + 0 + strlen(props) AS bytes, greatest(ceil(length(bin(event_id)) / 7.0), 1)::INTEGER AS varint_bytes FROM events")
+def wire_size(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = hashing.wire_size(F.lit(None).cast("binary"), F.encode("props", "UTF-8"), F.encode("event_type", "UTF-8"))
+    return rows.select("event_id", size.cast("long").alias("bytes"), hashing.varint_length(F.col("event_id")).alias("varint_bytes"))
+
+
+@query("default_metadata", with_log("SELECT topic, ord, CASE WHEN event_id % 3 = 0 THEN entry ELSE event_id END AS sequence_id FROM log"))
+def default_metadata(spark, sf_dir):
+    """Every third message has no metadata of its own."""
+    rows = the_log(spark, sf_dir)
+    own = F.when(F.col("event_id") % 3 != 0, F.col("event_id"))
+    return rows.select("topic", "ord", names.default_sequence(own, F.col("entry")).alias("sequence_id"))
+
+
+@query("find_consumer", "SELECT c_custkey AS consumer_id, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_nationkey END AS subscription FROM customer")
+def find_consumer(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("consumer_id"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("subscription"))
+    return stats.find_members(rows, rows.where("consumer_id % 4 = 0"))
+
+
+@query("unpartitioned_stats", """SELECT topic, count(DISTINCT p) AS producers FROM (SELECT 'persistent://t/n/' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '-partition-1' ELSE '' END AS topic, o_custkey % 5 AS p FROM orders)
+WHERE topic NOT LIKE '%-partition-1' GROUP BY topic""")
+def unpartitioned_stats(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    topic = F.concat(F.lit("persistent://t/n/"), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "-partition-1").otherwise(""))
+    rows = orders.select(topic.alias("topic"), (F.col("o_custkey") % 5).alias("producer_name"), F.lit("s").alias("subscription"))
+    return stats.unpartitioned(stats.topics(rows.select("topic").distinct(), rows, rows, rows)).select("topic", "producers")
+
+
+@query("total_permits", "SELECT 't' || (l_suppkey % 20) AS topic, l_returnflag AS subscription, sum(l_linenumber)::BIGINT AS permits FROM lineitem GROUP BY ALL")
+def total_permits(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return stats.total_permits(rows.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("topic"), F.col("l_returnflag").alias("subscription"), F.col("l_linenumber").alias("permits")))
+
+
+@query("key_builders", "SELECT n_nationkey, n_name || '/' || n_regionkey AS namespace, 'persistent://' || n_name || ':sub' || n_regionkey AS subscription FROM nation")
+def key_builders(spark, sf_dir):
+    region = F.col("n_regionkey").cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return rows.select("n_nationkey", names.namespace_key(F.col("n_name"), region).alias("namespace"), names.subscription_key(F.concat(F.lit("persistent://"), "n_name"), F.concat(F.lit("sub"), region)).alias("subscription"))
+
+
+@query("log_file_numbers", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 3 THEN NULL ELSE NULL END AS number FROM part")
+def log_file_numbers(spark, sf_dir):
+    """``N.log`` has a number; other endings and names have none."""
+    key, text = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    name = F.concat(F.when(key == 3, "x").otherwise(""), text, F.when(key == 1, ".txt").when(key == 2, ".log.old").otherwise(".log"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", names.log_file_number(name).alias("number"))
+
+
+@query("advertised_urls", "SELECT s_suppkey, 'broker://' || CASE WHEN s_suppkey % 3 < 2 THEN '127.0.0.1' ELSE '10.0.0.' || s_nationkey END || ':' || (6000 + s_suppkey) AS url FROM supplier")
+def advertised_urls(spark, sf_dir):
+    key = F.col("s_suppkey")
+    host = F.when(key % 3 == 0, "0.0.0.0").when(key % 3 == 1, "::").otherwise(F.concat(F.lit("10.0.0."), F.col("s_nationkey").cast("string")))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", names.advertised_url(F.lit("broker"), host, key + 6000).alias("url"))
+
+
+@query("live_producers", """SELECT topic, producer_id, name FROM (SELECT 't' || (user_id % 9) AS topic, event_id % 40 AS producer_id, arg_max(event_type, event_id) AS last, 'p' || max(event_id) AS name FROM events GROUP BY ALL) WHERE last <> 'error'""")
+def live_producers(spark, sf_dir):
+    """A registration takes the place of an older one with the same id; an error event stands for a removal."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "error", "remove").otherwise("register")
+    named = rows.select(F.concat(F.lit("t"), (F.col("user_id") % 9).cast("string")).alias("topic"), (F.col("event_id") % 40).alias("producer_id"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("seq"))
+    return stats.live_members(named)
+
+
+@query("log_files", with_log("SELECT topic, count(*) AS entries, true AS bounded FROM log GROUP BY topic"))
+def log_files(spark, sf_dir):
+    """The log written in files of at most 400 entries and read back by file."""
+    path = live.scratch_path(spark, "log")
+    log.write_log(the_log(spark, sf_dir), path, most_records=400)
+    files = spark.read.parquet(path).groupBy("topic", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("topic").agg(F.sum("n").alias("entries"), (F.max("n") <= 400).alias("bounded"))
+
+
+@query("catalog_round_trip", """SELECT 'persistent://t' || c_nationkey || '/n' || (c_custkey % 3) || '/' || c_name AS topic, 't' || c_nationkey AS tenant, 'n' || (c_custkey % 3) AS namespace, c_custkey % 4 = 0 AS partitioned,
+  CASE WHEN c_custkey % 4 = 0 THEN 1 + c_custkey % 7 ELSE 0 END AS partition_count FROM customer""")
+def catalog_round_trip(spark, sf_dir):
+    """Flat tables written as a document per tenant and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    topic = F.concat(F.lit("persistent://t"), F.col("c_nationkey").cast("string"), F.lit("/n"), (F.col("c_custkey") % 3).cast("string"), F.lit("/"), "c_name")
+    flat = catalog.upserted(rows.select(topic.alias("topic"), (F.col("c_custkey") % 4 == 0).alias("partitioned"), (1 + F.col("c_custkey") % 7).cast("long").alias("partitions")))
+    subs = flat.select("topic", F.lit("s").alias("subscription"))
+    path = live.scratch_path(spark, "catalogue")
+    catalog.write_documents(flat, subs, path)
+    back = catalog.topics(catalog.checked(catalog.read_documents(spark, path, lines=True)).where("refused is null"))
+    return back.select("topic", "tenant", "namespace", "partitioned", "partition_count")
+
+
+@query("catalog_parents", "SELECT DISTINCT 't' || c_nationkey AS tenant, 'n' || (c_custkey % 3) AS namespace FROM customer")
+def catalog_parents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    topic = F.concat(F.lit("persistent://t"), F.col("c_nationkey").cast("string"), F.lit("/n"), (F.col("c_custkey") % 3).cast("string"), F.lit("/"), "c_name")
+    return catalog.parents(rows.select(topic.alias("topic")))
+
+
+@query("partition_restore", "SELECT 't' || (o_custkey % 300) AS topic, arg_max(o_orderkey % 9, o_orderkey) AS partitions FROM orders GROUP BY ALL")
+def partition_restore(spark, sf_dir):
+    """Of repeated entries of the partition map the last one stays, even if it is smaller."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return catalog.restored(rows.select(F.concat(F.lit("t"), (F.col("o_custkey") % 300).cast("string")).alias("topic"), (F.col("o_orderkey") % 9).alias("partitions"), F.col("o_orderkey").alias("seq")))
+
+
+@query("start_positions", f"""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Earliest' WHEN 1 THEN 'Latest' WHEN 2 THEN 'Latest' ELSE 'Earliest' END AS initial, CASE n_nationkey % 4 WHEN 2 THEN n_nationkey END AS start_ledger FROM nation""")
+def start_positions(spark, sf_dir):
+    """What a subscribe asks for: the earliest or the latest sentinel, an id, or only an initial position."""
+    key = F.col("n_nationkey")
+    ledger = F.when(key % 4 == 0, F.lit(-1)).when(key % 4 == 1, F.lit(names.LATEST_SENTINEL)).when(key % 4 == 2, key).cast("long")
+    code = F.when(key % 4 == 3, 1).otherwise(0)
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", names.start_position(ledger, ledger, code).alias("s")).select("n_nationkey", "s.initial", "s.start_ledger")
+
+
+@query("last_message_id", with_log("SELECT topic, max(ord) // 500 AS ledger, max(ord) % 500 AS entry, NULL::VARCHAR AS error FROM log GROUP BY topic UNION ALL SELECT 'persistent://public/default/silent', NULL, NULL, 'Topic has no messages' UNION ALL SELECT 'non-persistent://public/default/x', NULL, NULL, 'non-persistent topic'"))
+def last_message_id(spark, sf_dir):
+    """The last id of each asked topic; an empty or a transient one has an error instead."""
+    rows = kept_log(spark, sf_dir)
+    more = spark.createDataFrame([("persistent://public/default/silent",), ("non-persistent://public/default/x",)], "topic string")
+    return log.last_message_ids(rows.select("topic").distinct().unionByName(more), rows)

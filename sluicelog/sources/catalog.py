@@ -18,8 +18,10 @@ PARTITIONED = T.MapType(T.StringType(), T.StructType([T.StructField("partitions"
 RESERVED = ("version", "partitioned_topics")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, body)`` of every JSON document in a folder, each read whole."""
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(source, body)`` of every JSON document in a folder: a file each, or with ``lines`` a line each."""
+    if lines:
+        return spark.read.text(path).select(F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("source"), F.col("value").alias("body"))
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("body"))
 
 
@@ -60,6 +62,16 @@ def upserted(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return merged.select(*keys, *[parts[p].alias(p) for p in ("domain", "tenant", "namespace", "local")], "partitioned", count.alias("partition_count"))
 
 
+def restored(entries: DataFrame) -> DataFrame:
+    """Partition counts of repeated ``(topic, partitions, seq)``: the last one stays."""
+    return entries.groupBy("topic").agg(F.max_by("partitions", "seq").alias("partitions"))
+
+
+def parents(topic_rows: DataFrame) -> DataFrame:
+    """The tenants and namespaces that the topics need; names that aren't valid need none."""
+    return topic_rows.select(topic_parts(F.col("topic")).alias("p")).where("p is not null").select("p.tenant", "p.namespace").distinct()
+
+
 def subscriptions(documents: DataFrame) -> DataFrame:
     """``(source, topic, subscription)`` of every subscription in the documents."""
     rows = _trees(documents).select("source", F.explode(F.from_json("tree", TREE)).alias("tenant", "a")).select("source", "tenant", F.explode("a").alias("namespace", "b"))
@@ -104,6 +116,35 @@ def write_document(spark: SparkSession, topic_rows: DataFrame, subscription_rows
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def documents(topic_rows: DataFrame, subscription_rows: DataFrame, root: str = "metadata") -> DataFrame:
+    """A JSON document per tenant, built by grouping; a document is bounded by its tenant's topics.
+
+    Nodes are nested level by level as JSON text, which is joined, not parsed again.
+    """
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)
+    key = lambda c: F.regexp_replace(quoted(c), r"\]$", "")
+
+    def node(pairs: Column) -> Column:
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat(key(x["k"]), F.lit(": "), x["v"])), ", "), F.lit("}"))
+
+    pair = lambda k, v: F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v")))
+    names = subscription_rows.select("topic", "subscription", F.lit("{}").alias("v")).distinct().groupBy("topic").agg(node(pair("subscription", "v")).alias("subs"))
+    rows = topic_rows.join(names, "topic", "left").withColumn("v", F.concat(F.lit('{"subscriptions": '), F.coalesce("subs", F.lit("{}")), F.lit("}")))
+    keys = ["tenant", "namespace", "domain", "local"]
+    for depth in (3, 2, 1):
+        rows = rows.groupBy(*keys[:depth]).agg(node(pair(keys[depth], "v")).alias("v"))
+    parts = topic_rows.where("partitioned").select("tenant", "topic", F.format_string('{"partitions": %d}', "partition_count").alias("p"))
+    parts = parts.groupBy("tenant").agg(node(pair("topic", "p")).alias("parts"))
+    whole = rows.join(parts, "tenant", "left")
+    body = F.concat(F.lit(f'{{"version": {VERSION}, "{root}": {{'), key(F.col("tenant")), F.lit(": "), "v", F.lit('}, "partitioned_topics": '), F.coalesce("parts", F.lit("{}")), F.lit("}"))
+    return whole.select("tenant", body.alias("body"))
+
+
+def write_documents(topic_rows: DataFrame, subscription_rows: DataFrame, path: str) -> None:
+    """Write the catalogue as lines of JSON, a document per tenant."""
+    documents(topic_rows, subscription_rows).select("body").write.text(path)
+
+
 def partition_counts(asked: DataFrame, known: DataFrame, default_partitions: int) -> DataFrame:
     """The answer to a partition query for each topic: its own count, else the default for any name if that is over 0, else 0."""
     own = known.where("partitioned").select("topic", F.col("partition_count").alias("own"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import runtime_mode
+
 MAX_ENTRIES = 50_000
 TOPIC_PREFIX = "persistent://public/default/"
 
@@ -66,9 +68,9 @@ def ledgers(log: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     return numbered(rows, "ledger_id", ["_all"], hours(F.col("opened_ts")), ["opened_ts", "opened_event", "topic"]).drop("_all", "opened", "opened_event")
 
 
-def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to a log folder, a sub-folder per topic; scans of one topic then read nothing else."""
-    log.withColumn("topic_key", F.col("topic")).write.mode(mode).partitionBy("topic_key").option("maxRecordsPerFile", 1_000_000).parquet(path)
+def write_log(log: DataFrame, path: str, mode: str = "append", most_records: int = 1_000_000) -> None:
+    """Append to a log folder, a sub-folder per topic, in files of at most ``most_records``; scans of one topic then read nothing else."""
+    log.withColumn("topic_key", F.col("topic")).write.mode(mode).partitionBy("topic_key").option("maxRecordsPerFile", most_records).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, topic: str, columns: Sequence[str] = ("ledger", "entry", "payload")) -> DataFrame:
@@ -94,6 +96,14 @@ def last_positions(log: DataFrame) -> DataFrame:
     return log.groupBy("topic").agg(F.max(F.struct("ledger", "entry")).alias("p")).select("topic", "p.ledger", "p.entry")
 
 
+def last_message_ids(asked: DataFrame, log: DataFrame) -> DataFrame:
+    """The last position of each asked topic, or why there is none."""
+    rows = asked.select("topic").join(last_positions(log), "topic", "left")
+    transient = runtime_mode(F.col("topic")) == "NonPersistent"
+    error = F.when(transient, "non-persistent topic").when(F.col("ledger").isNull(), "Topic has no messages")
+    return rows.select("topic", F.when(~transient, F.col("ledger")).alias("ledger"), F.when(~transient, F.col("entry")).alias("entry"), error.alias("error"))
+
+
 def neighbours(log: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Previous and next position of every entry, over the bounds of ledgers; null at a topic's ends.
 

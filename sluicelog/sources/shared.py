@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Only a local session, as in tests, gets a folder of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: written tables need a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sluicelog-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

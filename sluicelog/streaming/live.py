@@ -58,7 +58,8 @@ class Dispatch(StatefulProcessor):
         out = []
         for e in events.where(events.notna(), None).itertuples(index=False):
             whole = [None if x is None else int(x) for x in (e.consumer_id, e.ord, e.n)]
-            out += [(*key, e.seq, *d) for d in state.event(e.kind, *whole, e.name, e.seq)]
+            ranges = getattr(e, "ranges", None)
+            out += [(*key, e.seq, *d) for d in state.event(e.kind, *whole, e.name, e.seq, None if ranges is None else [int(x) for x in ranges])]
         self.snapshot.update((pickle.dumps(state),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DISPATCH.split(", ")])
 

@@ -188,3 +188,49 @@ def test_members(spark):
     assert [tuple(r) for r in live.collect()] == [("t", 1, "b")]
     found = stats.find_members(spark.createDataFrame([(1,), (2,)], "producer_id long"), live, "producer_id")
     assert {r.producer_id: r.topic for r in found.collect()} == {1: "t", 2: None}
+
+
+def test_turns_are_repaired_on_leave_and_kept_on_join():
+    start = [e for c in (1, 2, 3) for e in (("join", c, None, 0, "a"), ("flow", c, None, 99))]
+    sent = lambda n: [("publish", None, i, 0) for i in range(n)]
+    assert history("Shared", *start, *sent(3), ("join", 4, None, 0, "a"), ("flow", 4, None, 99), ("publish", None, 3, 0))[-1] == (1, 3, 0)
+    assert history("Shared", *start, *sent(2), ("ack", 1, 0), ("leave", 1), ("publish", None, 2, 0))[-1] == (3, 2, 0)
+
+
+def test_ring_hash_equals_the_column_hash(spark):
+    from sluicelog.functions import hashing
+    from pyspark.sql import functions as F
+
+    texts = ["", "a", "ab", "abc", "abcd", "failover-a17", "persistent://public/default/é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.murmur3_32(F.encode("t", "UTF-8")).alias("h")).collect()
+    assert {r.t: r.h for r in rows} == {t: folds.ring_hash(t) for t in texts}
+
+
+def test_transient_ignores_strangers_and_permits_after_a_fence():
+    state = folds.Transient("Failover", [], "t-partition-1")
+    state.event("flow", 7, 5)
+    for c in (1, 2):
+        state.event("join", c, 0, f"c{c}")
+        state.event("flow", c, 5)
+    assert state.event("publish", None, 0) == 2
+    state.event("leave", 2, None)
+    assert state.event("publish", None, 0) == 1
+    state.event("fence", None, None)
+    state.event("flow", 1, 9)
+    assert state.event("publish", None, 0) is None
+
+
+def test_queue_equals_a_plain_dictionary():
+    import random
+
+    rng, queue, plain = random.Random(3), folds.Queue(), {}
+    for _ in range(5000):
+        o = rng.randrange(60)
+        if rng.random() < 0.55:
+            queue.put(o, rng.randrange(5), o % 7)
+            plain[o] = max(plain.get(o, 0), queue.counts[o])
+        else:
+            assert queue.take(o) == plain.pop(o, 0)
+        ready = rng.sample(range(7), 3)
+        assert queue.first() == min(plain, default=None) and set(queue.keys) == {p % 7 for p in plain}
+        assert queue.first_of(lambda key: key in ready) == min((p for p in plain if p % 7 in ready), default=None)

@@ -1,11 +1,12 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
-Every distinct shingle set gets a signature per tree: ``LEVELS`` min-hashes in the tree's order. Sorted by signature, sets that share a
-prefix stand together. Neighbours with a common prefix of ``LEAST_DEPTH`` or more are candidates; that is a region. Regions of up to
-``REGION`` sets are compared whole. In larger ones the depth adapts: the prefix is lengthened where it is crowded, so that
-longest-common-prefix neighbours meet, and the parts are packed into blocks of about ``REGION`` sets. Every block also
-holds the same ``PIVOTS`` sets of its region, so that parts that the longer prefix has cut apart are still compared. Regions
-of the same members, which true duplicates give in most trees, are compared once.
+Every distinct shingle set gets a signature per tree: ``LEVELS`` min-hashes in the tree's order. Signatures are sorted, all trees in one
+order over all tasks, and every set is compared with its neighbours there by the length of their longest common prefix. A run whose neighbours
+share ``LEAST_DEPTH`` levels or more is a region, and its members are candidates. Regions of up to ``REGION`` sets are compared whole. In
+larger ones the depth adapts: walking along the order, a block of neighbours ends where, of its last half, the common prefix is shortest, so
+that sets with long common prefixes stay together whatever the depth it takes. Blocks overlap by ``OVERLAP`` neighbours, and every block
+also holds the same ``PIVOTS`` sets of its region. Regions of the same members, which true duplicates give in most trees, are
+compared once.
 
 What the blocks of crowded regions leave unlinked is joined exactly: two sets of the threshold share a shingle among the rarest
 of both (prefix filter, with bounds of length and position). Only pairs of different components are joined, on keys that are
@@ -18,8 +19,8 @@ Equal shingle sets are one class from the start, held by the smallest id. A link
 ``(1 - s**LEAST_DEPTH)**TREES`` (7e-6 at 0.85, 2e-4 at 0.8); inside a region, crowded or not, none is missed.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing. A row with a null id is returned with a null
-component, is linked with nothing and is kept. Rows that share an id are one document: they share a component. Tables may be empty;
-other columns are ignored.
+component, is linked with nothing and is kept. Rows that share an id are one document: they share a component, and what any of their texts is
+linked with belongs to it. Tables may be empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,7 @@ from pyspark.sql import functions as F
 from .common import discard, small, stored
 
 TREES, LEVELS, LEAST_DEPTH = 16, 12, 4
-REGION, PIVOTS = 256, 48
-DEEPER = (6, 8, 12)
+REGION, OVERLAP, PIVOTS = 256, 32, 32
 #: A shingle's members of two components are paired in salted parts of about this many.
 POSTINGS = 1024
 WORDS_HELD = 300_000
@@ -164,36 +164,94 @@ def _star_edges(size: int, percent: int):
     return run
 
 
+def common_levels(l1: np.ndarray, l2: np.ndarray, l3: np.ndarray) -> np.ndarray:
+    """How many levels each row of a sorted order shares with the row before it (-1 for the first one); fewer than 4 count as 0."""
+    at = np.full(len(l1), -1, dtype=np.int64)
+    if len(l1) > 1:
+        levels = lambda x: (x[:, None] < np.array([1 << 48, 1 << 32, 1 << 16, 1], dtype=np.uint64)).sum(1)
+        first, second, third = (x[1:].view(np.uint64) ^ x[:-1].view(np.uint64) for x in (l1, l2, l3))
+        at[1:] = np.where(first == 0, 4 + levels(second) + np.where(second == 0, levels(third), 0), 0)
+    return at
+
+
+def blocks_of(common: np.ndarray, size: int, overlap: int, whole: bool = True) -> list[tuple[int, int]]:
+    """Bounds of blocks of at most ``size`` neighbours; one ends where, in its last half, the common prefix is shortest, and the next begins ``overlap`` before.
+
+    Without ``whole`` the last block, which rows to come may still belong to, is left out.
+    """
+    found, start, at, n = [], 0, 0, len(common)
+    while n - at > size - (at - start):
+        low, high = max(at + 1, start + size // 2), start + size
+        at = high - int(common[low : high + 1][::-1].argmin())
+        found.append((start, at))
+        start = max(at - overlap, start)
+    if whole and n > at:
+        found.append((start, n))
+    return found
+
+
+def _walker(size: int, overlap: int):
+    """Deals a part of the sorted order to regions: rows are key, l2, l3, id and the size of the key's run over all parts."""
+
+    def mix(key: np.ndarray, x) -> np.ndarray:
+        h = key.view(np.uint64) ^ x
+        return ((h * _MIX) ^ (h >> np.uint64(29))).view(np.int64)
+
+    def deal(rows: np.ndarray, whole: bool):
+        """The blocks of a crowded run's rows, and what of them is left for rows to come."""
+        bounds = blocks_of(common_levels(*rows[:3]), size, overlap, whole)
+        parts = [(rows[0, i:j], mix(rows[0, i:j], mix(rows[3, i : i + 1], np.uint64(1)).view(np.uint64)), rows[3, i:j]) for i, j in bounds]
+        return parts, rows[:, max(bounds[-1][1] - overlap, 0) if bounds else 0 :]
+
+    def batch_of(parts, crowded: bool) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), crowded))], names=["key", "region", "id", "crowded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4, 0), dtype=np.int64)
+        for batch in batches:
+            rows = np.array([batch.column(i).to_numpy() for i in range(5)])
+            wide = rows[4] > size
+            if not wide.all():
+                key, ids = rows[0][~wide], rows[3][~wide]
+                yield batch_of([(key, mix(key, np.uint64(0)), ids)], False)
+            rows = np.concatenate([held, rows[:4, wide]], axis=1)
+            found, runs = [], np.split(rows, np.flatnonzero(np.diff(rows[0])) + 1, axis=1)
+            for whole in runs[:-1]:
+                found += deal(whole, True)[0]
+            parts, held = deal(runs[-1], False)
+            if found + parts:
+                yield batch_of(found + parts, True)
+        if held.shape[1]:
+            yield batch_of(deal(held, True)[0], True)
+
+    return run
+
+
 def regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``(region, id)``: which sets are compared with each other, and ``(key, id)`` of the crowded regions, None if there are none.
 
     ``reps`` has id, keys and deep of distinct shingle sets.
     """
-    members = reps.select("id", F.posexplode("keys").alias("tree", "key"))
+    members = reps.select("id", "deep", F.posexplode("keys").alias("tree", "key"))
     h1, h2 = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
     sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("c > 1")
     sized = stored(sized, "forest-regions")
-    kept = sized.where(F.col("c") <= REGION).groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    plain = members.join(small(kept), "key").select(F.xxhash64("key", F.lit(0)).alias("region"), "id")
-    crowded = sized.where(F.col("c") > REGION).select("key", "c")
+    # who has a neighbour at the least depth at all, and of regions with the same members only one
+    kept = sized.where(F.col("c") <= REGION).groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "c")
+    kept = stored(kept.unionByName(sized.where(F.col("c") > REGION).select("key", "c")), "forest-kept")
+    order = ["key", "l2", "l3", "id"]
+    forest = members.join(small(kept), "key").select("key", F.get("deep", F.col("tree") * 2).alias("l2"), F.get("deep", F.col("tree") * 2 + 1).alias("l3"), "id", "c")
+    walked = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walker(REGION, min(OVERLAP, REGION // 4)), "key long, region long, id long, crowded boolean")
+    walked = stored(walked, "forest-order")
+    crowded = kept.where(F.col("c") > REGION)
     if crowded.isEmpty():
-        return plain, None
-
-    wide = reps.select("id", F.posexplode("keys").alias("tree", "key"), "deep").join(small(crowded), "key")
-    wide = wide.withColumns({"l2": F.get("deep", F.col("tree") * 2), "l3": F.get("deep", F.col("tree") * 2 + 1), "blocks": F.ceil(F.col("c") / REGION).cast("int")})
-    prefix = {d: F.xxhash64("key", *([F.shiftrightunsigned("l2", 16 * (8 - d))] if d <= 8 else ["l2", F.shiftrightunsigned("l3", 16 * (12 - d))])) for d in DEEPER}
-    wide = stored(wide.select("key", "id", "c", "blocks", *[p.alias(f"p{d}") for d, p in prefix.items()]), "forest-crowded")
-    steps = wide.select("key", "id", F.posexplode(F.array(*[f"p{d}" for d in DEEPER])).alias("step", "prefix"))
-    full = steps.groupBy("step", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION).select("step", "prefix")
-    deepest = steps.join(small(full), ["step", "prefix"], "left_semi").groupBy("key", "id").agg((F.max("step") + 1).alias("depth"))
-    wide = wide.join(deepest, ["key", "id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    # a part is a prefix that isn't crowded; a prefix that still is at full depth is cut by a hash of the id
-    part = F.coalesce(F.get(F.array(*[F.col(f"p{d}") for d in DEEPER]), F.col("depth")), F.xxhash64(f"p{DEEPER[-1]}", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    own = F.array(F.pmod(F.xxhash64(part), F.col("blocks")).cast("int"))
+        return walked.select("region", "id"), None
+    wide = walked.where("crowded")
+    blocks = wide.select("key", "region").distinct()
     is_pivot = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("c")
-    block = F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own))
-    packed = wide.select("key", "id", block.alias("block")).select(F.xxhash64("key", "block", F.lit(1)).alias("region"), "id")
-    return plain.unionByName(packed), wide.select("key", "id")
+    pivots = wide.join(small(crowded), "key").where(is_pivot).select("key", "id").distinct()
+    return walked.select("region", "id").unionByName(blocks.join(small(pivots), "key").select("region", "id")), wide.select("key", "id").distinct()
 
 
 def _poster(size: int):
@@ -266,6 +324,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """``(key, n_shingles, component_id, kept)`` of every row; documents whose sets have a Jaccard likeness of ``percent`` or more are linked."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = stored(rows.mapInArrow(_sketcher(size), SKETCH), "forest-sketch")
+    sets = sketch.where("id is not null").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi"))
+    if sets.where("lo <> hi").isEmpty():
+        found = _near_duplicates(rows, sketch, size, percent)
+    else:
+        found = _with_repeated_ids(rows, size, percent)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _with_repeated_ids(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(id, n, component)`` where an id may have several texts: each text is searched under a number of its own, then an id's numbers are linked."""
+    marked = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    numbers = marked.where("id is not null").select("id", "digest").distinct().orderBy("id", "digest").withColumn("number", F.monotonically_increasing_id())
+    numbers = stored(numbers, "forest-numbers")  # in the order of the ids
+    numbered = stored(marked.join(small(numbers), ["id", "digest"], "left").select("id", "number", "text"), "forest-numbered")
+    own = numbered.select(F.col("number").alias("id"), "text")
+    found = stored(_near_duplicates(own, stored(own.mapInArrow(_sketcher(size), SKETCH), "forest-sketch"), size, percent).distinct(), "forest-found")
+    firsts = numbers.groupBy("id").agg(F.min("number").alias("first"))
+    same = numbers.join(small(firsts), "id").select(F.col("first").alias("a"), F.col("number").alias("b"))
+    linked = found.where("id is not null").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(same)
+    joined = stored(components(linked).select(F.col("id").alias("number"), F.col("component").alias("lowest")), "forest-components")
+    lowest = numbers.select(F.col("number").alias("lowest"), F.col("id").alias("component"))
+    joined = joined.join(small(lowest), "lowest").select("number", "component")
+    counts = found.where("id is not null").select(F.col("id").alias("number"), "n")
+    known = numbered.where("number is not null").select("id", "number").join(small(counts), "number").join(small(joined), "number", "left")
+    known = known.select("id", "n", F.coalesce("component", "id").alias("component"))
+    # rows without an id aren't compared: only their sets are counted
+    unknown = rows.where("id is null").mapInArrow(_sketcher(size), SKETCH).select("id", "n", F.lit(None).cast("long").alias("component"))
+    return known.unionByName(unknown)
+
+
+def _near_duplicates(rows: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(id, n, component)`` of every row of ``sketch``; an id has one shingle set."""
     known = sketch.where("n > 0 and id is not null")
     copies = known.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d1", "d2", "first")
     copies = stored(copies, "forest-copies")
@@ -286,8 +376,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             both = found.select(F.col("component").alias("a"), F.col("rep").alias("b")).unionByName(more)
             found = stored(components(both).select(F.col("id").alias("rep"), "component"), "forest-components")
     joined = classed.select("id", "n", "rep").join(small(found), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return joined.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component"))
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

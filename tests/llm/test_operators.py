@@ -240,6 +240,69 @@ def test_near_duplicates_link_a_star_of_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_forest_blocks_follow_the_common_prefixes():
+    rng = np.random.default_rng(8)
+    rows = np.array(sorted(tuple(r) for r in rng.integers(0, 3, (500, 3)) << np.array([0, 48, 48])), dtype=np.int64).T.copy()
+    common = near_dups.common_levels(*rows)
+    packed = [[row[0]] + [int(x) >> s & 0xFFFF for x in row[1:] for s in (48, 32, 16, 0)] for row in rows.T]
+    for i in range(1, 500):
+        shared = next((k for k in range(9) if packed[i][k] != packed[i - 1][k]), 9)
+        assert common[i] == (0 if not shared else 3 + shared)
+    for n in (0, 1, 16, 17, 400):
+        bounds = near_dups.blocks_of(common[:n], 16, 4)
+        assert all(j - i <= 16 for i, j in bounds) and {x for i, j in bounds for x in range(i, j)} == set(range(n))
+        assert all(a[1] - b[0] == 4 for a, b in zip(bounds, bounds[1:]))
+    ids = np.arange(500)
+    import pyarrow as pa
+
+    order = np.array([np.full(500, 7), rows[1], rows[2], ids, np.full(500, 500)])
+    cut = lambda i, j: pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in order], names=list("abcde"))
+    whole, parts = (list(near_dups._walker(16, 4)(iter(b))) for b in ([cut(0, 500)], [cut(i, i + 60) for i in range(0, 500, 60)]))
+    met = lambda found: {i for b in found for i in b.column(2).to_pylist()}
+    assert met(whole) == met(parts) == set(range(500)) and all(b.column(3).to_pylist()[0] for b in whole)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id's texts are one document: links of each of them join its component, whatever the order of the rows."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(3, text("w")), (7, text("w")), (7, text("v")), (9, text("v") + " x"), (9, None), (12, text("u")), (12, text("u")), (20, text("t")), (None, text("t"))]
+    for docs in (rows, rows[::-1]):
+        got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=3, percent=85).collect()
+        assert len(got) == 9 and {(r.doc_id, r.component_id) for r in got} == {(3, 3), (7, 3), (9, 3), (12, 12), (20, 20), (None, None)}
+        assert sorted(r.n_shingles for r in got if r.doc_id == 9) == [0, 29]
+
+
+def test_near_duplicates_of_a_crowd_equal_brute_force(spark):
+    """As shipped: 1500 near copies of one text around the threshold, 3500 other texts."""
+    rng = np.random.default_rng(21)
+    original = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(1500):
+        words = list(original)
+        for at in rng.choice(118, rng.integers(0, 5), replace=False):
+            words[at] = f"e{rng.integers(0, 300)}"
+        texts[i] = " ".join(words)
+    for i in range(1500, 5000):
+        texts[i] = " ".join(f"v{x}" for x in rng.integers(0, 5000, 12))
+    sets = {i: near_dups.shingles(t, 3) for i, t in texts.items()}
+    points = np.unique(np.concatenate([sets[i] for i in range(1500)]))
+    dense = np.zeros((1500, len(points)), dtype=np.float32)
+    for i in range(1500):
+        dense[i, np.searchsorted(points, sets[i])] = 1
+    both, n = dense @ dense.T, dense.sum(1)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    low = np.arange(1500)
+    while True:
+        new = np.where(linked, low[None, :], 1500).min(1)
+        if (new == low).all():
+            break
+        low = new
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(rows, size=3, percent=85).collect()}
+    assert [got[i] for i in range(1500)] == low.tolist() and len(set(low.tolist())) < 1400
+    assert all(got[i] == i for i in range(1500, 5000))
+
+
 def test_near_duplicates_odd_input(spark):
     rows = near_dups.near_duplicates(odd(spark), size=3, percent=85).collect()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}

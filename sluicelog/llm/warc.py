@@ -1,12 +1,15 @@
 """WARC archives written and read through Spark, with an external merge of their capture index.
 
-Writing: payloads are grouped by SHA-1; the smallest key of a group is its response and the others are revisits that refer to it. Each
-task writes its records, gzipped, by Spark's own writer, so the archives can lie in any store that Spark reaches and a lost task is
-written again. A file is one gzip member and holds ``RECORDS_PER_FILE`` records at most.
+Writing: payloads are grouped by SHA-1, size and SHA-256; the smallest key of a group is its response and the others are revisits that
+refer to it. Each task writes its records, gzipped, by Spark's own writer, so the archives can lie in any store that Spark reaches and a
+lost task is written again. A file is one gzip member. Records of like size share files, the fewer the larger they are, so a file has
+about ``ARCHIVE_BYTES`` at most, or one record.
 
 Reading: every archive is parsed by its Content-Length headers into capture rows, sorted by URL key, time and record key. Each archive
-is thus a locally sorted run. Runs are dealt out by ranges of that order and merged in every range by a loser tree; the ranges follow each
-other, so the rows of the result stand in global capture order.
+is thus a locally sorted run. Runs are dealt out by ranges of that order. In a range every run comes in blocks of ``BLOCK`` captures, which
+arrive by their first capture: a loser tree opens a block only when the merge has come to it, so it holds one block of each run that
+spans the place, however many captures the range has. More than ``FAN_IN`` runs are first merged in groups to longer runs. The
+ranges follow each other, so the rows of the result stand in global capture order.
 
 A null payload is an empty one; null and empty payloads are one group. Rows with a null key are never a response if the group has a
 key; a group of null keys only has responses only. Repeated rows of the smallest key are all responses. A null URL has an empty URL
@@ -17,16 +20,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small, stored
+from .common import discard, scratch_path, small, stored
 
-RECORDS_PER_FILE = 4096
+#: About the most bytes of an archive, unpacked, and its most records.
+ARCHIVE_BYTES, RECORDS_PER_FILE = 256 << 20, 4096
+#: Captures in a block of a run, and runs that are merged at once.
+BLOCK, FAN_IN = 64, 512
 EPOCH = 1704067200  # 2024-01-01, the capture time of key 0; a key's capture is as many seconds later
 CAPTURES = (
     "url_key string, captured string, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, "
@@ -50,10 +58,11 @@ def _lines(*pairs: tuple[str, Column | str]) -> Column:
 def decided(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Key, URL, payload, its size and digest, and the key that a revisit refers to (null for a response)."""
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.coalesce(payload, F.lit("")).alias("p"))
-    rows = rows.withColumns({"bytes": F.octet_length("p").cast("long"), "hex": F.sha1("p")})
-    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("hex").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = stored(groups.where("n > 1").select("hex", "first"), "warc-copies")
-    rows = rows.join(small(copies), "hex", "left")
+    same = ["hex", "bytes", "strong"]
+    rows = rows.withColumns({"bytes": F.octet_length("p").cast("long"), "hex": F.sha1("p"), "strong": F.unhex(F.sha2("p", 256))})
+    groups = rows.where(F.col("bytes") >= least_bytes).groupBy(*same).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = stored(groups.where("n > 1").select(*same, "first"), "warc-copies")
+    rows = rows.join(small(copies), same, "left")
     return rows.withColumn("refers", F.when((F.col("first") != F.col("k")) | F.col("k").isNull(), F.col("first")))
 
 
@@ -81,8 +90,15 @@ def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
     )
     kind = F.when(F.col("refers").isNull(), response).otherwise(revisit)
     record = F.concat(F.lit("WARC/1.1\r\n"), kind, common, F.lit("\r\n"), F.col("block"))
-    writer = rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest = pages.agg(F.max(F.octet_length(columns.get("payload", "html")))).first()[0] or 0
+    # of each size class, the largest of which is four times the one below, as many records to a file as the bytes of an archive allow
+    low, per_file = -1, RECORDS_PER_FILE
+    while low < largest:
+        high = ARCHIVE_BYTES // per_file if per_file > 1 else largest
+        own = rows.where(F.col("bytes").between(low + 1, high)) if largest > ARCHIVE_BYTES // RECORDS_PER_FILE else rows
+        writer = own.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip")
+        writer.option("maxRecordsPerFile", per_file).text(path)
+        low, per_file = high, max(per_file // 4, 1)
 
 
 def url_key(uri: str) -> str:
@@ -135,55 +151,138 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges sorted runs; each inner node keeps the loser of its match, so a new head plays only the matches on its way up."""
-
-    def __init__(self, runs: list[list[tuple]], key):
-        self.runs, self.key, self.k = [iter(r) for r in runs], key, max(1, len(runs))
-        self.heads = [next(r, None) for r in self.runs] or [None]
-        self.keys = [None if h is None else key(h) for h in self.heads]
-        self.losers = [0] * self.k
-        winners = [0] * self.k + list(range(self.k))
-        for node in range(self.k - 1, 0, -1):
-            a, b = winners[2 * node], winners[2 * node + 1]
-            winners[node], self.losers[node] = (a, b) if self.wins(a, b) else (b, a)
-        self.best = winners[1] if self.k > 1 else 0
-
-    def wins(self, a: int, b: int) -> bool:
-        return self.keys[b] is None or (self.keys[a] is not None and (self.keys[a], a) < (self.keys[b], b))
+    """Merges sorted runs; each inner node keeps the winner and the loser of its match, so a new head plays only the matches on its way up.
+
+    Runs may be opened at any time; the tree grows by doubling, and the place of an exhausted run is taken again.
+    """
+
+    def __init__(self, runs: Iterable[Iterable[tuple]] = (), key=lambda row: row):
+        self.key, self.free = key, []
+        self.runs: list[Iterator[tuple]] = []
+        self.heads: list[tuple | None] = []
+        self.keys: list = []
+        self._grow(1)
+        for run in runs:
+            self.open(run)
+
+    def _grow(self, places: int) -> None:
+        more = places - len(self.runs)
+        self.free += range(len(self.runs), places)  # in order, which is a heap
+        self.runs += [iter(())] * more
+        self.heads += [None] * more
+        self.keys += [None] * more
+        self.winners, self.losers = [0] * places + list(range(places)), [0] * places
+        for node in range(places - 1, 0, -1):
+            self._play(node)
+
+    def _play(self, node: int) -> None:
+        a, b = self.winners[2 * node], self.winners[2 * node + 1]
+        first = self.keys[b] is None or (self.keys[a] is not None and (self.keys[a], a) < (self.keys[b], b))
+        self.winners[node], self.losers[node] = (a, b) if first else (b, a)
+
+    @property
+    def best(self) -> int:
+        return self.winners[1]
+
+    def open(self, run: Iterable[tuple]) -> None:
+        if not self.free:
+            self._grow(2 * len(self.runs))
+        place = heapq.heappop(self.free)
+        self.runs[place] = iter(run)
+        self._advance(place)
+
+    def _advance(self, place: int) -> None:
+        head = self.heads[place] = next(self.runs[place], None)
+        self.keys[place] = None if head is None else self.key(head)
+        if head is None:
+            heapq.heappush(self.free, place)
+        node = (place + len(self.runs)) // 2
+        while node:
+            self._play(node)
+            node //= 2
+
+    def least(self):
+        """The key of the row that comes next, None if there is none."""
+        return self.keys[self.best]
+
+    def take(self) -> tuple:
+        place = self.best
+        row = self.heads[place]
+        self._advance(place)
+        return row
 
     def __iter__(self) -> Iterator[tuple]:
-        while self.heads[self.best] is not None:
-            i = self.best
-            yield self.heads[i]
-            self.heads[i] = next(self.runs[i], None)
-            self.keys[i] = None if self.heads[i] is None else self.key(self.heads[i])
-            node = (i + self.k) // 2
-            while node:
-                if self.wins(self.losers[node], i):
-                    self.losers[node], i = i, self.losers[node]
-                node //= 2
-            self.best = i
+        while self.least() is not None:
+            yield self.take()
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    runs: dict[str, list[tuple]] = {}
-    names = None
+BLOCKS = "group int, url_key string, captured string, page_id long, archive string, offset long, rows binary"
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cuts rows that are sorted by group, run and order into blocks, each with its first row's order."""
+    names, held = [c.split()[0] for c in BLOCKS.split(", ")], []
+
+    def block(rows: list[tuple]) -> tuple:
+        first = rows[0]
+        return first[-2], first[0], first[1], first[2], first[8], first[9], pickle.dumps([r[:-2] for r in rows])
+
     for batch in batches:
-        names = list(batch.columns)
+        found = []
         for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-            runs.setdefault(row[8], []).append(row)
-    if names is None:
-        return
-    # a run's rows may come in several blocks; each block keeps the run's order, which sort() finds and only links
-    out = iter(LoserTree([sorted(r, key=_order) for r in runs.values()], _order))
-    while rows := [row for _, row in zip(range(10_000), out)]:
-        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            if held and (row[-2:] != held[-1][-2:] or len(held) >= BLOCK):
+                found.append(block(held))
+                held = []
+            held.append(row)
+        yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64"})
+    if held:
+        yield pd.DataFrame([block(held)], columns=names).astype({"page_id": "Int64"})
+
+
+MERGED = CAPTURES + ", run long"
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the blocks of each group, which arrive by their first rows; a block is opened when the merge has come to its first row."""
+    names = [c.split()[0] for c in MERGED.split(", ")]
+    tree, group, out = LoserTree(key=_order), None, []
+    frame = lambda: pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    for batch in batches:
+        for own, content in zip(batch["group"].tolist(), batch["rows"]):
+            rows = pickle.loads(content)
+            first = _order(rows[0])
+            while (least := tree.least()) is not None and (own != group or least < first):
+                out.append((*tree.take(), group))
+                if len(out) >= 4096:
+                    yield frame()
+                    out = []
+            tree.open(rows)
+            group = own
+    for row in tree:
+        out.append((*row, group))
+        if len(out) >= 4096:
+            yield frame()
+            out = []
+    if out:
+        yield frame()
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
     """All captures in global order of URL key, time and record key, by k-way merges over ranges of that order."""
-    ranges = runs.repartitionByRange("url_key", "captured", "page_id", "archive", "offset")
-    return ranges.mapInPandas(_merge, CAPTURES)
+    order = ["url_key", "captured", "page_id", "archive", "offset"]
+    held = stored(runs.withColumn("run", F.xxhash64("archive")), "capture-runs")
+    n = held.select("run").distinct().count()
+    while True:
+        groups = -(-n // FAN_IN) if n > FAN_IN else 1
+        ranges = held.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int")).select(*[c.split()[0] for c in CAPTURES.split(", ")], "group", "run")
+        ranges = ranges.repartitionByRange("group", *order).sortWithinPartitions("group", "run", *order)
+        blocks = ranges.mapInPandas(_blocks, BLOCKS).sortWithinPartitions("group", *order)
+        merged = blocks.mapInPandas(_merge, MERGED)
+        if groups == 1:
+            return merged.drop("run")
+        before, held, n = held, stored(merged, "capture-runs"), groups
+        discard(before)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

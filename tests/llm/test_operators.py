@@ -477,6 +477,46 @@ def test_warc_round_trip(spark):
     assert warc.merged_index(warc.capture_runs(spark, empty)).count() == 0
 
 
+def test_index_of_many_runs_is_merged_in_passes(spark, monkeypatch):
+    """Ranges of many blocks, groups of runs before the last merge, one URL with a third of all captures, archives bounded by bytes."""
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 64)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 64 * 400)
+    pages = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i * 7919 % 97}.example/{i * 31 % 211}", "x" * (i % 50) + ("y" * 30_000 if i % 250 == 0 else "")) for i in range(3000)]
+    path = warc.scratch_path(spark, "warc-runs")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8), path)
+    runs = warc.capture_runs(spark, path)
+    assert runs.select("archive").distinct().count() > 27
+    assert runs.groupBy("archive").agg(F.sum("length").alias("b")).agg(F.max("b")).first()[0] < 64 * 1200
+    rows = warc.merged_index(runs).collect()
+    want = sorted((warc.url_key(u), i) for i, u, _ in pages)
+    assert [(r.url_key, r.page_id) for r in rows] == want and rows[0].__fields__ == [c.split()[0] for c in warc.CAPTURES.split(", ")]
+
+
+def test_merge_holds_a_block_of_each_run():
+    """A range of 40 blocks a run: blocks are opened one after another, never all."""
+    import pandas as pd
+
+    rows = [(f"{i:06d}", "t", i, "u", 0, "", "response", None, f"a{i % 5}", i, 1, 0, i % 5) for i in range(5 * 40 * warc.BLOCK)]
+    frame = pd.DataFrame(sorted(rows, key=lambda r: (r[-1], r[0])))
+    blocks = pd.concat(list(warc._blocks(iter([frame[:1000], frame[1000:]])))).sort_values("url_key")
+    assert len(blocks) == 200
+    most, opened = 0, warc.LoserTree.open
+
+    class Counted(warc.LoserTree):
+        def open(self, run):
+            nonlocal most
+            opened(self, run)
+            most = max(most, len(self.runs) - len(self.free))
+
+    original, warc.LoserTree = warc.LoserTree, Counted
+    try:
+        got = pd.concat(list(warc._merge(iter([blocks[:50], blocks[50:]]))))
+    finally:
+        warc.LoserTree = original
+    assert got["page_id"].tolist() == list(range(len(rows))) and most <= 6
+
+
 def test_loser_tree():
     rng = np.random.default_rng(4)
     for k in (0, 1, 2, 3, 7):

@@ -3,7 +3,8 @@
 A short word is held as two parallel arrays: its parts, and the rank of the merge of each part with the next one. The
 smallest rank is sought by a plain scan, its boundary deleted and the neighbouring ranks looked up anew. All words of one length
 that a batch brings for the first time are merged together, a row each of these arrays. The scan is quadratic in a word's length,
-so words of over ``LONG_WORD`` symbols go to a heap over linked parts instead, which gives the same merges.
+so words of over ``LONG_WORD`` symbols go to a heap over linked parts instead, which gives the same merges. A worker keeps the codes of
+up to ``CACHED_CHUNKS`` chunks of at most ``CACHED_LENGTH`` characters, so its memory is bounded whatever the texts hold.
 
 Null and empty texts have no ids and decode to the empty text. Special tokens that occur in a text are one id each, as in the
 tokenizers library. Repeated rows and ties are encoded row by row; columns other than the key and text are ignored.
@@ -29,8 +30,18 @@ from .common import text_groups
 LONG_WORD = 96
 CACHED_CHUNKS = 300_000
 NO_RANK, NO_PAIR = 2**31 - 1, 2**62
-#: Python's split() takes U+001C to U+001F for white space, the tokenizer doesn't: they are swapped for private characters meanwhile.
-UNITS, UNITS_BACK = re.compile("[\x1c-\x1f]"), re.compile("[\U0010fff0-\U0010fff3]")
+#: Chunks of more characters are encoded each time, not kept.
+CACHED_LENGTH = 64
+#: Python's split() takes U+001C to U+001F for white space, the tokenizer doesn't: texts that hold one are cut by expression.
+UNITS = re.compile("[\x1c-\x1f]")
+NOT_WHITE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
+#: Capitals that got a small letter after the Unicode version of Python's tables: first, last, and the small letter of the first.
+NEWER_CASES = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+SMALL = {first + i: small + i for first, last, small in NEWER_CASES for i in range(last - first + 1)}
+HAS_NEWER_CASE = re.compile("[" + "".join(f"{chr(first)}-{chr(last)}" for first, last, _ in NEWER_CASES) + "]").search
 #: Letters and numbers that were assigned after the Unicode version of the tokenizers library's expressions.
 NEWER_LETTERS = (
     "\u0558 \u058b-\u058c \u088f \u0c5c \u0cdc \u208f \u209d-\u209f \ua7ce-\ua7cf \ua7d2 \ua7d4 \ua7dd \ua7e2 \ua7f1 \uab6c-\uab6d "
@@ -44,14 +55,6 @@ NEWER_LETTERS = (
 NEWER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 
 
-def hide_unit(m: re.Match) -> str:
-    return chr(ord(m[0]) - 0x1C + 0x10FFF0)
-
-
-def show_unit(m: re.Match) -> str:
-    return chr(ord(m[0]) - 0x10FFF0 + 0x1C)
-
-
 CODES = "n_tokens long, ids binary, decoded string"
 
 
@@ -93,6 +96,7 @@ class WordBPE:
         self.strict_words = regex.compile(strict, regex.V1).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.passing: list[str] = []
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the merge of each left part with its right one, or NO_RANK."""
@@ -189,14 +193,15 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")
+            if HAS_NEWER_CASE(text):
+                text = text.translate(SMALL)
         return text.lower()
 
     def split_chunks(self, text: str) -> list[str]:
         """Runs without white space, after normalisation; a word never spans two of them."""
-        return UNITS.sub(hide_unit, text).split() if UNITS.search(text) else text.split()
+        return NOT_WHITE(text) if UNITS.search(text) else text.split()
 
     def chunk_words(self, chunk: str) -> list[str]:
-        chunk = UNITS_BACK.sub(show_unit, chunk) if UNITS_BACK.search(chunk) else chunk
         return (self.strict_words if not chunk.isascii() and self.has_newer(chunk) else self.words)(chunk)
 
     def learn(self, chunks: set[str]) -> None:
@@ -210,6 +215,7 @@ class WordBPE:
             own = [codes[w] if w in codes else known[w] for w in ws]
             known[chunk] = own[0] if len(own) == 1 else (b"".join([x[0] for x in own]), " ".join([x[1] for x in own]))
         known.update(codes)
+        self.passing += [x for xs in (mixed, codes) for x in xs if len(x) > CACHED_LENGTH]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids and decoded text of each whole text; decoding joins tokens with spaces, as a vocabulary without decoder does."""
@@ -237,6 +243,9 @@ class WordBPE:
                     ids += a
                     shown += b
             out.append((b"".join(ids), " ".join(shown)))
+        for chunk in self.passing:
+            self.chunks.pop(chunk, None)
+        self.passing.clear()
         return out
 
 

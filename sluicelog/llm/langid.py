@@ -9,7 +9,8 @@ The classifiers are fitted on a bounded sample of the labelled rows, about ``SAM
 the row's key. Counting is distributed; what comes to the driver is the model (languages x ``BUCKETS`` counts).
 
 Null texts, and texts without a letter, are ``und`` with score 0. With no labelled row everything is ``und``; with one language every other text
-has that language. Rows with a null key are predicted but never learned from. Whole texts are read, in blocks. Repeated rows are
+has that language. Rows with a null key are predicted but never learned from. Whole texts are read, long ones in pieces that give the same
+grams. Repeated rows are
 predicted row by row; columns other than the key, text and (for learning) language are ignored.
 """
 
@@ -57,34 +58,51 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, each text's first gram and number of grams, and its number of letters."""
-    low = [t.lower() for t in texts]
-    lengths = np.array([len(t) + 2 for t in low])
-    points = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _coded(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that begin at the first ``n`` code points, and where the middle of each stands."""
     letter = letter_table()[points]
     x = np.where(letter, points, 0).astype(np.uint64)
-    ends = np.cumsum(lengths)
-    text_of = np.repeat(np.arange(len(texts)), lengths)
-    one, mid = x * np.uint64(0x9E3779B97F4A7C15), x * np.uint64(0xC2B2AE3D27D4EB4F)
-    right = x * np.uint64(0x165667B19E3779F9)
-    pair = one[:-1] + mid[1:] + np.uint64(0x27D4EB2F165667C5)
-    triple = one[:-2] + mid[1:-1] + right[2:] + np.uint64(0x85EBCA77C2B2AE63)
+    n2, n3 = min(n, len(x) - 1), max(min(n, len(x) - 2), 0)
+    one, mid, right = x * np.uint64(0x9E3779B97F4A7C15), x * np.uint64(0xC2B2AE3D27D4EB4F), x * np.uint64(0x165667B19E3779F9)
+    pair = one[:n2] + mid[1 : n2 + 1] + np.uint64(0x27D4EB2F165667C5)
+    triple = one[:n3] + mid[1 : n3 + 1] + right[2 : n3 + 2] + np.uint64(0x85EBCA77C2B2AE63)
     shift = np.uint64(64 - BUCKET_BITS)
 
     def bucket(h: np.ndarray) -> np.ndarray:
         h = h ^ (h >> np.uint64(29))
         return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int32)
 
-    keep1, keep2, keep3 = letter, letter[:-1] | letter[1:], letter[1:-1]
+    keep1, keep2, keep3 = letter[:n], letter[:n2] | letter[1 : n2 + 1], letter[1 : n3 + 1]
+    codes = np.concatenate([bucket(one[:n])[keep1], bucket(pair)[keep2], bucket(triple)[keep3]])
+    return codes, np.concatenate([np.flatnonzero(keep1), np.flatnonzero(keep2), np.flatnonzero(keep3) + 1])
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams, the text of each, and each text's number of grams and of letters."""
+    low = [t.lower() for t in texts]
+    lengths = np.array([len(t) + 2 for t in low])
+    points = _points(" " + "  ".join(low) + " ")
+    text_of = np.repeat(np.arange(len(texts)), lengths)
     # grams that would span two texts have a word edge on either side of the cut, hence no letter of two texts
-    codes = np.concatenate([bucket(one)[keep1], bucket(pair)[keep2], bucket(triple)[keep3]])
-    owner = np.concatenate([text_of[keep1], text_of[:-1][keep2], text_of[1:-1][keep3]])
-    n_letters = np.bincount(text_of[letter], minlength=len(texts))
-    assert ends[-1] == len(points)
+    codes, at = _coded(points, len(points))
+    owner = text_of[at]
+    n_letters = np.bincount(text_of[letter_table()[points]], minlength=len(texts))
     return codes, owner, np.bincount(owner, minlength=len(texts)), n_letters
 
 
+def long_grams(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Buckets of a long text's n-grams and its letters, ``PIECE`` code points at a time: pieces overlap, and each gram counts where it begins."""
+    points = _points(f" {text.lower()} ")
+    for i in range(0, len(points), PIECE):
+        part = points[i : i + PIECE + 2]
+        n = min(PIECE, len(points) - i)
+        yield _coded(part, n)[0], int(letter_table()[part[:n]].sum())
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -97,8 +115,10 @@ class Model:
         sums, counts, letters = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
             if len(text) > PIECE:
-                for piece in _cut(text):
-                    self._add([piece], np.array([i]), sums, counts, letters)
+                for codes, n_letters in long_grams(text):
+                    sums[i] += self.weights[codes].sum(0, dtype=np.float64)
+                    counts[i] += len(codes)
+                    letters[i] += n_letters
         short = [i for i, t in enumerate(texts) if 0 < len(t) <= PIECE]
         for first, run in text_groups([texts[i] for i in short], PIECE):
             self._add(run, np.array(short[first : first + len(run)]), sums, counts, letters)
@@ -125,19 +145,14 @@ class Model:
 PIECE = 1 << 19
 
 
-def _cut(text: str) -> Iterator[str]:
-    for i in range(0, len(text), PIECE):
-        yield text[i : i + PIECE]
-
-
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
             own = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             for text in rows["text"]:
-                for piece in _cut(text):
-                    own += np.bincount(grams([piece])[0], minlength=BUCKETS)
+                for codes, _ in long_grams(text):
+                    own += np.bincount(codes, minlength=BUCKETS)
     for lang, own in counts.items():
         at = np.flatnonzero(own)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})

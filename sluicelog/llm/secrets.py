@@ -1,13 +1,15 @@
 """Secret scan: fixed expressions, and zstandard novelty for strings that no expression names.
 
-Novelty measures how many bytes a candidate adds to the zstandard frame of the text around it, with a dictionary of common
-identifiers in front. What the surroundings or the dictionary know costs a few bytes; a random string costs nearly its own
-entropy. A candidate with a sensitive word shortly before or after it is reported if its marginal bytes are at least ``NOVELTY`` of its
-length. Candidates that only white space or punctuation parts, such as the lines of a key block or the parts of a signed token, are a
-run and share their context; so do all inside a private key block. Beside a base span the rest of a candidate is judged.
+Novelty measures how many bytes a candidate adds, where it stands, to the zstandard frame of the text around it, with a dictionary in front: common
+identifiers, and those that ``identifiers`` counts over the texts with sensitive context of all documents. What the surroundings or the
+dictionary know costs a few bytes; a random string costs nearly its own entropy. A candidate is a run of ``LEAST`` or more characters of base 64, or
+of hexadecimal digits, that has a digit or whose letters change case as often as random ones do (``CASE_CHANGES``); camel-case names don't. One with a
+sensitive word shortly before or after it is reported if its marginal bytes are at least ``NOVELTY`` of its length. Candidates that only white
+space or punctuation parts, such as the lines of a key block or the parts of a signed token, are a run and share their context; so do all
+inside a private key block. Beside a base span the rest of a candidate is judged.
 
 Spans are ``kind:start:end`` in code points, the end exclusive. Null and empty texts have none. Repeated rows are scanned row by
-row; columns other than the key and text are ignored.
+row; columns other than the key and text are ignored. Tables may be empty; without sensitive texts the dictionary is the common one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ GAP = re.compile(r"(?:\\[nrt]|[\W_])*")
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 LAST_LINE = re.compile(r"(?:\s|\\[nrt]){1,64}([A-Za-z0-9+/_=-]{1,19}?)(?:\s|\\[nrt]){0,64}-----END")
 CONTEXT, SURROUNDING, NOVELTY = 64, 256, 0.55
+#: A candidate's least characters, and the share of neighbouring characters between which the case has to change if it has no digit.
+LEAST, CASE_CHANGES = 20, 0.3
+#: Identifiers of the corpus in the dictionary, at most, by how many texts have them; those of one text only are left out.
+DICTIONARY_WORDS = 4096
 #: The dictionary in front of every frame, unless the caller gives another one.
 IDENTIFIERS = (
     "password passwd secret token apikey api_key access_key private_key client_id client_secret authorization bearer credential signature "
@@ -44,6 +50,12 @@ _CAND = bytes(ord("c") if chr(b).isalnum() and b < 128 or chr(b) in "+/_=-" else
 _HEX = bytes(ord("h") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
+def plausible(candidate: str) -> bool:
+    """Whether it has a digit, or letters that change case as those of random strings do."""
+    changes = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(candidate, candidate[1:]))
+    return any(map(str.isdigit, candidate)) or changes >= CASE_CHANGES * (len(candidate) - 1)
+
+
 class Scanner:
     def __init__(self, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY):
         import zstandard
@@ -65,8 +77,8 @@ class Scanner:
         return found
 
     def marginal(self, before: str, candidate: str, after: str) -> float:
-        """Added bytes per byte of the candidate."""
-        around, whole = (before + after).encode("utf-8", "replace"), (before + after + candidate).encode("utf-8", "replace")
+        """Bytes that the candidate adds where it stands, per byte of its own."""
+        around, whole = (before + after).encode("utf-8", "replace"), (before + candidate + after).encode("utf-8", "replace")
         return (len(self.frame(whole)) - len(self.frame(around))) / len(candidate)
 
     def runs(self, text: str) -> list[list[tuple[int, int]]]:
@@ -112,7 +124,7 @@ class Scanner:
             if left < end:
                 parts.append((left, end))
             for s, e in parts:
-                if any(map(str.isdigit, text[s:e])) and self.marginal(text[max(0, s - SURROUNDING) : s], text[s:e], text[e : e + SURROUNDING]) >= self.novelty:
+                if plausible(text[s:e]) and self.marginal(text[max(0, s - SURROUNDING) : s], text[s:e], text[e : e + SURROUNDING]) >= self.novelty:
                     found.append((s, 3, e))
             if parts and found and found[-1][2] == end and (m := LAST_LINE.match(text, end)):
                 found.append((m.start(1), 3, m.end(1)))
@@ -147,33 +159,46 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scan(texts: pd.Series) -> pd.DataFrame:
-    scanner, rows = Scanner(), []
-    for text in texts:
-        base, spans = scanner.scan(text or "")
-        counts = [sum(k == i for _, k, _ in base) for i in range(3)]
-        rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCAN.split(", ")])
+def identifiers(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WORDS) -> str:
+    """The dictionary: common identifiers after those of the corpus, the most frequent last, where zstandard finds them cheapest.
 
+    Counted are words of 3 to 19 letters, once a text, over all texts with a sensitive word beside something to judge; what
+    could itself be a secret, every run of a candidate's characters and length, is blotted out first. At most ``most`` words come to the driver.
+    """
+    texts = docs.select(F.col(text).alias("t")).where(F.col("t").rlike(CANDIDATE.pattern) & F.col("t").rlike("(?i)" + SENSITIVE.pattern))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.regexp_replace("t", CANDIDATE.pattern, " "), "[^A-Za-z_]+"))).alias("word"))
+    counted = words.where(F.length("word").between(3, LEAST - 1)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return " ".join([*reversed(found), IDENTIFIERS])
 
-def _redacted(texts: pd.Series) -> pd.Series:
-    scanner = Scanner()
-    return pd.Series([None if t is None else redact(t, scanner.scan(t)[1]) for t in texts], dtype=object)
 
-
-def scanned(text: Column) -> Column:
+def scanned(text: Column, dictionary: str = IDENTIFIERS) -> Column:
     """A struct of the counts of the base kinds, the digest of the base spans, and all spans."""
-    return F.pandas_udf(_scan, SCAN)(text)
 
+    def run(texts: pd.Series) -> pd.DataFrame:
+        scanner, rows = Scanner(dictionary), []
+        for text in texts:
+            base, spans = scanner.scan(text or "")
+            counts = [sum(k == i for _, k, _ in base) for i in range(3)]
+            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCAN.split(", ")])
+
+    return F.pandas_udf(run, SCAN)(text)
 
-def redacted(text: Column) -> Column:
+
+def redacted(text: Column, dictionary: str = IDENTIFIERS) -> Column:
     """The text with all spans replaced by ``[SECRET]``; null stays null."""
-    return F.pandas_udf(_redacted, "string")(text)
+
+    def run(texts: pd.Series) -> pd.Series:
+        scanner = Scanner(dictionary)
+        return pd.Series([None if t is None else redact(t, scanner.scan(t)[1]) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", scanned(F.col("text")).alias("scan")).select("doc_id", "scan.*")
+    return docs.select("doc_id", scanned(F.col("text"), identifiers(docs)).alias("scan")).select("doc_id", "scan.*")
 
 
 QUERIES = {"op7_secrets": op7_secrets}

@@ -66,6 +66,19 @@ def test_language_pieces_equal_whole():
     assert np.allclose(together, alone)
 
 
+def test_language_of_a_text_over_many_pieces(monkeypatch):
+    """Cuts lose and invent no gram, wherever they fall."""
+    model = langid.Model(["a", "b"], langid.codewords(2), np.random.default_rng(1).normal(size=(langid.BUCKETS, 1)).astype("float32"), np.ones((2, 1)))
+    text = "Ein längerer Satz mit ΣΑΣ, 12 Zahlen und İstanbul. " * 9
+    whole, letters = model.margins([text])
+    plain = np.bincount(langid.grams([text])[0], minlength=langid.BUCKETS)
+    for piece in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut, n = model.margins([text])
+        assert np.allclose(whole, cut, rtol=1e-9) and n == letters
+        assert (sum(np.bincount(codes, minlength=langid.BUCKETS) for codes, _ in langid.long_grams(text)) == plain).all()
+
+
 # 2
 
 
@@ -168,6 +181,36 @@ def test_bpe_equals_the_library(spark):
         assert decoded == reference.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_vocabulary()
+    reference, own = tokenizers.Tokenizer.from_file(path), bpe.WordBPE(open(path, encoding="utf-8").read())
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        wrong = [t for t, e, (ids, _) in zip(part, reference.encode_batch(part, add_special_tokens=False), own.encode_batch(part)) if struct.pack(f"<{len(e.ids)}I", *e.ids) != ids]
+        assert not wrong, [hex(ord(t[1])) for t in wrong]
+
+
+def test_bpe_query_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    reference = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    texts = {r.doc_id: r.text or "" for r in texts_of(spark)}
+    for r in bpe.op4_bpe(spark, TABLES).collect():
+        ids = reference.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = reference.decode(ids, skip_special_tokens=False)
+        want = len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
+def test_bpe_keeps_no_long_chunk():
+    own = bpe.WordBPE(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    text = "ab" * 5000 + " short " + "x1" * 400
+    first = own.encode_batch([text, text])
+    assert first[0] == first[1] == own.encode_batch([text])[0]
+    assert max(map(len, own.chunks)) <= bpe.CACHED_LENGTH and not own.passing
+
+
 def test_bpe_heap_equals_array():
     own = bpe.WordBPE(open(bpe.default_vocabulary(), encoding="utf-8").read())
     rng = np.random.default_rng(3)
@@ -395,6 +438,47 @@ def test_secrets_in_wide_context():
     assert scanner.scan(plain_name)[1] == scanner.scan(plain_name)[0]
 
 
+def base_spans(text):
+    """The fixed expressions, plainly."""
+    import re
+
+    kinds = [("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    found = sorted((m.start(), i, m.end()) for i, (_, p, fits) in enumerate(kinds) for m in re.finditer(p, text) if fits(m))
+    return [f"{kinds[i][0]}:{s}:{e}" for s, i, e in found]
+
+
+def test_secrets_query_equals_brute_force(spark):
+    """The base columns of the whole table, and base spans among all spans."""
+    texts = {r.doc_id: r.text or "" for r in texts_of(spark)}
+    rows = secrets.op7_secrets(spark, TABLES).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
+        assert set(want) <= set(r.spans.split(",")) or not want
+
+
+def test_secrets_that_only_novelty_finds(spark):
+    """Planted random strings near sensitive words, with a digit or without, are found; long names that the corpus repeats aren't."""
+    rng = np.random.default_rng(17)
+    drawn = lambda n, letters: "".join(rng.choice(list(letters), n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    planted = {i: drawn(24 + i % 17, mixed + "0123456789+/" * (i % 2)) for i in range(40)}
+    names = ["getApplicationContextFactory", "internationalization_of_names", "customer2address_mapping_table"]
+    rows = [(i, f"the client secret is stored, bearer {s} in clear") for i, s in planted.items()]
+    rows += [(100 + i, f"the client secret uses {names[i % 3]} of customer address mapping table for {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.identifiers(docs)
+    assert "mapping" in words.split() and not any(s in words for s in planted.values())
+    got = {r.doc_id: r.s.spans for r in docs.select("doc_id", secrets.scanned(F.col("text"), words).alias("s")).collect()}
+    for i, s in planted.items():
+        at = rows[i][1].index(s)
+        assert got[i] == f"novel:{at}:{at + len(s)}"
+    assert not any(got[100 + i] for i in range(30))
+    assert secrets.identifiers(docs.limit(0)) == secrets.IDENTIFIERS
+
+
 def test_secrets_odd_input(spark):
     rows = odd(spark).select("text", secrets.scanned(F.col("text")).alias("s"), secrets.redacted(F.col("text")).alias("r")).collect()
     assert all(r.s.spans == "" and r.r == r.text for r in rows)

@@ -157,6 +157,40 @@ def test_surrogates_stay_distinct_when_few_are_drawn(spark):
     assert not {x[2] for x in got} & {f"555-{i:04d}" for i in range(300)}
 
 
+def mod97(code):
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
+
+
+def test_surrogates_keep_persons_together(spark):
+    """One person with titles of either kind and without, one number in three layouts, check digits, and numbers that are none."""
+    texts = [
+        "Mr. John Smith met Dr. John Smith. John Smith said that Smith, not Smithers or Johnson, came.",
+        "Mrs. Anna Stone and Prof. Anna Stone; later Anna-Maria, then Anna.",
+        "Call +1 (017) 555-7713, (017) 555-7713, +10175557713 or +442071234567 and 202 555 0123.",
+        "IBAN DE89 3704 0044 0532 0130 00 and bad GB00 WEST 1234 5698 7654 32 at 1700000000123 or 1700000000123456.",
+        "a mark \x01 Mr. John Smith \x02 and Smith",
+    ]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    john, smith = got[0].split()[1:3]
+    assert got[0] == texts[0].replace("John Smith", f"{john} {smith.strip('.,')}").replace("that Smith,", f"that {smith.strip('.,')},") and john.endswith("n")
+    anna = got[1].split()[1]
+    assert anna.endswith("na") and got[1].count(anna) == 3 and "Anna-Maria" in got[1]
+    numbers = ["".join(filter(str.isdigit, x)) for x in got[2].replace(" or ", ",").replace(" and ", ",").split("Call ")[1].split(",")]
+    assert [x.strip() for x in numbers[:3]] == ["1" + numbers[1], numbers[1], "1" + numbers[1]] and numbers[3][:2] == "44" and len(numbers[4]) == 10
+    assert not any(x in got[2] for x in ("555-7713", "5557713", "2071234567", "555 0123"))
+    good, bad = got[3].split("IBAN ")[1].split(" and bad ")
+    good, bad = good.replace(" ", ""), bad.split(" at ")[0].replace(" ", "")
+    assert mod97(good) == 1 and mod97(bad) != 1 and good[:2] == "DE" and bad[:2] == "GB" and good != "DE89370400440532013000"
+    assert got[3].endswith(" at 1700000000123 or 1700000000123456.")
+    assert got[4] == texts[4].replace("John Smith", f"{john} {smith.strip('.,')}").replace("and Smith", f"and {smith.strip('.,')}")
+
+
+def test_surrogates_of_a_layout_with_too_few_forms(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ROUNDS", 2)
+    rows = spark.createDataFrame([(i, f"call (499) 555-{i:04d}") for i in range(40)], "doc_id long, text string")
+    assert pii.surrogates(rows, strength=1).count() == 40
+
+
 def test_surrogates_odd_input(spark):
     docs = odd(spark)
     got = pii.surrogates(docs).drop("entities")

@@ -414,6 +414,41 @@ def test_toxicity_learns_words(spark):
     assert all((s >= 0.5) == bool(y) for s, y in held) and len(weights.places) < 400
 
 
+def test_toxicity_shift_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        scores, labels, counts = rng.random(n).round(1), rng.integers(0, 2, n), rng.integers(1, 5, n).astype(float)
+        p = np.clip(scores, 1e-12, 1 - 1e-12)
+        logits = np.log(p / (1 - p))
+        f1 = lambda s: 2 * (counts * labels * (logits + s >= 0)).sum() / max((counts * (logits + s >= 0)).sum() + (counts * labels).sum(), 1)  # noqa: B023, E731
+        shift = toxicity.best_shift(scores, labels, counts)
+        if labels.any() and not labels.all():
+            assert f1(shift) >= max(f1(-x + 1e-9) for x in logits) - 1e-12
+        else:
+            assert shift == 0
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    """On the table of sf0.1: held-out recall and precision at 0.5."""
+    big = TABLES.replace("sf0.001", "sf0.1")
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op6_toxicity(spark, big).collect()]
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
+    hits = sum(p and y for p, y in held)
+    assert hits >= 0.85 * sum(y for _, y in held) and hits >= 0.9 * sum(p for p, _ in held)
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """A key with very many label rows and texts is one weighted row of the sample."""
+    docs = spark.createDataFrame([(i % 40, f"word{i % 40} idiot" if i % 2 else f"word{i % 40} fine") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, labels)
+    assert weights.score(toxicity.features("idiot")) > 0.5 > weights.score(toxicity.features("fine"))
+
+
 def test_toxicity_odd_input(spark):
     docs = odd(spark)
     one = toxicity.fit(docs, spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, toxic int"))

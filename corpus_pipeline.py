@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicelog.llm import bpe, decontamination, langid, near_dups, secrets
-from sluicelog.llm.common import fresh, small, stored
+from sluicelog.llm.common import discard, fresh, scratch_scope, small, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item. Those without an id are judged by id and text like all others."""
+    """Documents that hold no window of a benchmark item. Those without an id are judged by id and text like all others; a null text holds none and stays."""
     (name,) = fresh(docs, "contamination_key")
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256))
     keyed = docs.withColumn(name, key)
@@ -58,13 +58,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced by a mark and ``n_chars`` counted anew where the text changed."""
     (clean,) = fresh(docs, "redacted_text")
-    rows = docs.withColumn(clean, secrets.redacted(F.col("text")))
+    rows = docs.withColumn(clean, secrets.redacted(F.col("text"), secrets.identifiers(docs)))
     n_chars = F.when(F.col(clean).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
     return rows.withColumns({"n_chars": n_chars, "text": F.col(clean)}).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``lang``, ``source``, ``n_chars``, ``n_tokens`` and the token ids of every document."""
+    """``doc_id``, ``lang``, ``source``, ``n_chars``, ``n_tokens`` and the token ids of every document; null and empty texts have none."""
     (out,) = fresh(docs, "bpe_code")
     coded = docs.withColumn(out, bpe.ids_only(spark, F.col("text"), bpe.default_vocabulary()))
     return coded.select("doc_id", "lang", "source", "n_chars", F.col(f"{out}.n_tokens").alias("n_tokens"), F.col(f"{out}.ids").alias("ids"))
@@ -80,9 +80,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way, and its input, are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before = docs
+        with scratch_scope(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.add(docs._stored_path)
+        if i:
+            discard(before)
     return docs
 
 

@@ -82,9 +82,10 @@ def _stateful(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataF
     return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(schema), outputMode="Update", timeMode="None")
 
 
-def replayed(df: DataFrame, order: str, slices: int = 3) -> DataFrame:
-    """A stream of a table's rows: slices in ascending ``order``, each a micro-batch."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "replay")
+def replayed(df: DataFrame, order: str, slices: int = 3, path: str | None = None) -> DataFrame:
+    """A stream of a table's rows: slices in ascending ``order``, each a micro-batch. They are added to what ``path`` holds, if that is given."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "replay")
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
     for i in range(slices):
@@ -93,9 +94,13 @@ def replayed(df: DataFrame, order: str, slices: int = 3) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that is there now; its output rows with the number of their micro-batch, as a table."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+def drained(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now; its output rows with the number of their micro-batch, as a table.
+
+    With the ``path`` of an earlier run it goes on from that run's state and reads only what has come since; the table holds the rows of all runs.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")

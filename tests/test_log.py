@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluicelog.functions import hashing, names
 from sluicelog.operators import cursors, folds, redelivery, routing, stats
 from sluicelog.sources import catalog, log
+from sluicelog.streaming import live
 
 
 def entries(spark, topics, start=datetime(2024, 1, 1)):
@@ -234,3 +235,23 @@ def test_queue_equals_a_plain_dictionary():
         ready = rng.sample(range(7), 3)
         assert queue.first() == min(plain, default=None) and set(queue.keys) == {p % 7 for p in plain}
         assert queue.first_of(lambda key: key in ready) == min((p for p in plain if p % 7 in ready), default=None)
+
+
+def test_streams_go_on_from_their_state_after_a_restart(spark, tmp_path):
+    """Acks and permits of the first run count in the second one, which reads only what came since."""
+    acks = lambda ords: spark.createDataFrame([("t", "s", o) for o in ords], "topic string, subscription string, ord long")
+    paths = {n: f"file://{tmp_path}/{n}" for n in ("acks", "frontiers", "events", "deliveries")}
+    for ords in ((0, 1, 2, 5, 6), (3, 4, 9)):
+        found = live.drained(live.ack_frontiers(live.replayed(acks(ords), "ord", 1, paths["acks"])), paths["frontiers"])
+    assert [tuple(r) for r in live.latest(found, "topic", "subscription").collect()] == [("t", "s", 6, 1)]
+    assert found.count() == 2
+
+    names = "topic string, subscription string, seq long, kind string, consumer_id long, ord long, n long, name string"
+    first = [("join", 1, None, 0, "a"), ("flow", 1, None, 2, None), *[("publish", None, i, 0, None) for i in range(4)], ("ack", 1, 0, None, None)]
+    second = [("join", 2, None, 0, "b"), ("leave", 1, None, None, None), ("flow", 2, None, 2, None)]
+    numbered = [("t", "s", i, *e) for i, e in enumerate(first + second)]
+    for part in (numbered[: len(first)], numbered[len(first) :]):
+        events = live.replayed(spark.createDataFrame(part, names), "seq", 1, paths["events"])
+        sent = live.drained(live.dispatches(events, "Shared"), paths["deliveries"])
+    # what the consumer that left held comes first, with its count raised
+    assert sorted((r.seq, r.consumer_id, r.ord, r.redelivery_count) for r in sent.collect()) == [(2, 1, 0, 0), (3, 1, 1, 0), (9, 2, 1, 1), (9, 2, 2, 0)]
